@@ -1,0 +1,128 @@
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import ODD, documents, with_clash
+from weftline.llm import mixing as M
+
+
+def corpus():
+    rows = [(i, "word " * (1 + i % 7), "en", "big") for i in range(600)]
+    rows += [(1000 + i, "a b c d", "en", "mid") for i in range(90)] + [(2000 + i, "x y", "en", "small") for i in range(11)]
+    rows += [(3000 + i, "n u l l", "en", None) for i in range(5)] + [(4000, "", "en", "void"), (4001, None, "en", "void")]
+    return rows + [(1001, "a b c d", "en", "mid")] * 2
+
+
+def tokens(rows):
+    out = Counter()
+    for r in rows:
+        out[r[3]] += len((r[1] or "").split())
+    return out
+
+
+def test_bisection():
+    held = np.array([5.0, 70.0, 1000.0])
+    a = M.bisect(lambda x: M.repetition(x, held), 3.0)
+    assert math.isclose(M.repetition(a, held), 3.0, rel_tol=1e-9) and math.isclose(a, 1 - math.log(3) / math.log(200), rel_tol=1e-9)
+    e = M.bisect(lambda x: M.entropy(x, held), 0.9)
+    assert math.isclose(M.entropy(e, held), 0.9, rel_tol=1e-9)
+    assert M.bisect(lambda x: M.repetition(x, held), 1000) == 0.0 and M.bisect(lambda x: M.repetition(x, held), 1.0) > 1 - 1e-12
+
+
+def test_spark_measures_are_the_same(spark):
+    held = np.array([5.0, 70.0, 1000.0])
+    frame = spark.createDataFrame([(int(t),) for t in held], "tokens long")
+    spread, bits = M._spark_measures(frame, held.sum())
+    for a in (0.0, 0.3, 1.0):
+        assert math.isclose(spread(a), M.repetition(a, held)) and math.isclose(bits(a), M.entropy(a, held), abs_tol=1e-12)
+    assert math.isclose(M.find_alpha(frame, 2.0, None, most_rows=1), M.find_alpha(frame, 2.0, None), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("budget", [None, 900, 5000])
+def test_weights_passes_and_the_broken_pass(spark, budget):
+    rows = corpus()
+    docs = documents(spark, rows)
+    mix = M.temperature_mix(docs, max_repetition=4.0, budget=budget, block_tokens=50)
+    out = [r.asDict() for r in mix.collect()]
+    n = tokens(rows)
+    real = np.array([v for v in n.values() if v], dtype=float)
+    alpha = M.bisect(lambda a: M.repetition(a, real), 4.0)
+    z = sum((v / real.sum()) ** alpha for v in real)
+    whole = budget or max(v / ((v / real.sum()) ** alpha / z) for v in real)
+    longest = {s: max(len((r[1] or "").split()) for r in rows if r[3] == s) * 3 for s in n}
+    got = Counter()
+    for r in out:
+        got[r["source"]] += r["n_tokens"]
+    for s, v in n.items():
+        if v:
+            want = (v / real.sum()) ** alpha / z * whole
+            assert -1 - longest[s] < got[s] - want <= 1e-6 + 1
+            passes = want / v
+            seen = Counter(r["doc_id"] for r in out if r["source"] == s)
+            ids = Counter(r[0] for r in rows if r[3] == s)
+            assert all(math.floor(passes + 1e-9) * k <= seen[d] <= math.ceil(passes - 1e-9) * k for d, k in ids.items())
+    if budget is None:
+        assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+        assert math.isclose(max(got[s] / v for s, v in n.items() if v), 4.0, rel_tol=0.2)
+
+
+def test_the_broken_pass_as_brute_force(spark):
+    docs = documents(spark, corpus())
+    sizes = M.token_sizes(docs)
+    plan = {r.source: r for r in M.mixing_plan(sizes, 4.0, None, 2500, 50).collect()}
+    held = M._with_plan(sizes, spark.createDataFrame([(s, p.full, p.blocks) for s, p in plan.items()], "__source string, full int, blocks int"))
+    held = held.withColumn("block", M._block()).select("*", M._priority().alias("u"), M._draw().alias("v")).collect()
+    want = Counter()
+    for s, p in plan.items():
+        mine = [r for r in held if r.source == s]
+        left, blocks = p.rest if p.rest is not None else 0, defaultdict(list)
+        for r in mine:
+            want[r.doc_id] += p.full
+            if r.n_tokens:
+                blocks[r.u, r.block].append(r)
+        for _, block in sorted(blocks.items()):
+            size = sum(r.n_tokens for r in block)
+            if size <= left:
+                left -= size
+                for r in block:
+                    want[r.doc_id] += 1
+                # texts without tokens go with their block
+                continue
+            draws = defaultdict(list)
+            for r in block:
+                draws[r.v].append(r)
+            for _, same in sorted(draws.items()):
+                size = sum(r.n_tokens for r in same)
+                if size > left:
+                    break
+                left -= size
+                for r in same:
+                    want[r.doc_id] += 1
+            break
+    got = Counter(r.doc_id for r in M.temperature_mix(docs, 4.0, None, 2500, 50).where("n_tokens > 0").collect())
+    assert got == +Counter({d: k for d, k in want.items() if d not in (4000, 4001)})
+
+
+def test_documents_keep_their_columns_and_odd_rows(spark):
+    docs = with_clash(documents(spark, ODD + corpus()), "h", "epoch", "passes", "__source")
+    out = M.mixed_documents(docs, max_repetition=2.0)
+    assert out.schema.names == docs.schema.names
+    ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    got = Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert all(k <= got[d] <= 2 * k for d, k in ids.items())
+    again = Counter(r.doc_id for r in M.mixed_documents(docs.repartition(5), max_repetition=2.0).select("doc_id").collect())
+    assert got == again
+    assert M.temperature_mix(documents(spark, [])).count() == 0 and M.mixed_documents(documents(spark, [])).count() == 0
+    assert M.temperature_mix(documents(spark, [(1, None), (2, "")])).count() == 2
+
+
+def test_positions_interleave_sources(spark):
+    out = M.temperature_mix(documents(spark, corpus()), max_repetition=4.0, block_tokens=20).where("n_tokens > 0")
+    r = out.agg(F.min("position").alias("a"), F.max("position").alias("b")).first()
+    assert 0 <= r.a and r.b <= 1.35
+    epochs = out.groupBy("source", "epoch").agg(F.min("position").alias("a"), F.max("position").alias("b")).collect()
+    by = {(e.source, e.epoch): e for e in epochs}
+    assert all(by[s, k].b <= by[s, k + 1].a for s, k in by if (s, k + 1) in by)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .licence import licence_scan
+from .mixing import temperature_mix
 from .quality import quality_verdicts
+from .sharding import extendible_shards
 from .simhash import simhash_near_duplicates
 
 
@@ -17,6 +19,10 @@ def op1_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -29,9 +35,32 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), sample_rows=2000)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(table(spark, sf_dir, "documents"), limit=64 << 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by query; hashes other than md5, components, models and parsers have none."""
+    return dict(SQL)
+
+
+SQL: dict[str, str] = {}
+
+#: The first 24 bits of a doc_id's hash are enough here: ids are unique, and no bucket of the table is that deep.
+SQL["op10_sharding"] = f"""
+WITH sized AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, lpad(bin(('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT), 32, '0') AS bits
+  FROM documents),
+buckets AS (
+  SELECT depth, bits[1:depth] AS prefix, sum(n_bytes) AS shard_bytes
+  FROM sized, generate_series(0, 24) AS s(depth) GROUP BY ALL HAVING sum(n_bytes) <= {64 << 20}),
+least AS (
+  SELECT s.doc_id, s.n_bytes, s.bits, min(b.depth) AS depth
+  FROM sized s JOIN buckets b ON s.bits[1:b.depth] = b.prefix GROUP BY ALL)
+SELECT l.doc_id, l.n_bytes, 'b' || b.prefix AS shard, b.depth::INTEGER AS depth, b.shard_bytes::BIGINT AS shard_bytes
+FROM least l JOIN buckets b ON b.depth = l.depth AND b.prefix = l.bits[1:l.depth]
+"""
