@@ -12,6 +12,7 @@ from .html_text import extract_main_text
 from .language import language_of_documents
 from .licence import licence_scan
 from .mixing import temperature_mix
+from .paragraphs import repeated_spans
 from .quality import quality_verdicts
 from .sharding import extendible_shards
 from .simhash import simhash_near_duplicates
@@ -33,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(table(spark, sf_dir, "documents"), texts_per_lang=2000, grams_per_lang=4000)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), similarity=0.8, recall=0.99, min_words=20, run=25, passage=51).drop("row")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
