@@ -131,7 +131,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -
     groups = simhash_groups(prints, distance)
     stays = prints.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__kept"), "stays")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__kept"]))
+    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["__kept"]))  # one plan at every size
     once = kept.where("__n = 1").select(*docs.columns)
     if not stays.where("__n > 1").head(1):
         return once
