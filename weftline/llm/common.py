@@ -132,7 +132,7 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     otherwise left is salted by ``salt_by`` and right repeated for each salt, so that a hot key is spread over many tasks."""
     if small_enough(right, most_rows):
         return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("__salt", F.pmod(salt_by if salt_by is not None else F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(salt_by if salt_by is not None else F.struct(*left.columns)), F.lit(salts)).cast("int"))
     spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 

@@ -13,6 +13,7 @@ from .language import language_of_documents
 from .licence import licence_scan
 from .mixing import temperature_mix
 from .paragraphs import repeated_spans
+from .pii import personal_data
 from .quality import quality_verdicts
 from .sharding import extendible_shards
 from .simhash import simhash_near_duplicates
@@ -30,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"), confidence=0.8, seeds=5, turns=3)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(table(spark, sf_dir, "documents"), texts_per_lang=2000, grams_per_lang=4000)
 
