@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, documents, with_clash
-from weftline.llm.paragraphs import Sequence, Words, cut_words, jaccard, line_paragraphs, merged, passage_runs, repeated_paragraphs, repeated_spans, similar_links, tune_bands, without_repeats
+from weftline.llm.paragraphs import Sequence, Words, cut_words, jaccard, line_paragraphs, merged, passage_runs, repeated_paragraphs, repeated_spans, similar_forest, similar_links, tune_bands, without_repeats
 
 
 def plain_words(text):
@@ -124,13 +124,14 @@ def test_links_as_brute_force(spark, few, chunk):
     frame = spark.createDataFrame([(int(a), [int(k) for k in b], c) for a, b, c in zip(h.view(np.int64), keys.view(np.int64), sets)], "h long, keys array<long>, shingles binary")
     from weftline.llm.common import connected_components
 
-    got = {x.node: x.component for x in connected_components(similar_links(frame, 0.8, few, chunk)).collect()}
+    got = {x.node: x.component for x in connected_components(similar_links(frame.drop("shingles"), frame.drop("keys"), 0.8, few, chunk)).collect()}
     ids, at = [int(x) for x in h.view(np.int64)], {int(x): int(x) for x in h.view(np.int64)}
     for i, a in enumerate(ids):
         for j in range(i):
             if jaccard(sets[i], sets[j]) >= 0.8:
                 old, new = max(at[a], at[ids[j]]), min(at[a], at[ids[j]])
                 at = {k: new if v == old else v for k, v in at.items()}
+    assert len(similar_forest(ids, sets, 0.8)) == len(ids) - len(set(at.values()))
     assert {a: got.get(a, a) for a in ids} == at and len(set(at.values())) < len(ids)
 
 

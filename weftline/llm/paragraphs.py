@@ -50,7 +50,7 @@ class Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word, 7)
         return found
@@ -148,7 +148,7 @@ def paragraph_table(docs: DataFrame, min_words: int, run: int, passage: int, ban
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            for piece in pieces(batch, "text", 8 << 20):
+            for piece in pieces(batch, "text", 2 << 20):
                 seq = Sequence(texts(piece, "text"), memo)
                 base = np.array(seq.starts)
                 d, a, b, h, keys, sets = line_paragraphs(seq, min_words, bands, rows)
@@ -168,16 +168,41 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def similar_links(lines: DataFrame, similarity: float, few: int = 32, chunk: int = 256) -> DataFrame:
-    """``a, b``: links between hashes of distinct lines (``h, keys, shingles``) that connect what similar pairs connect.
+def overlaps(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Similarity of one sorted set with each of several, which stand one after another, none empty."""
+    both = np.add.reduceat(np.isin(others, mine).astype(np.int64), starts[:-1])
+    return both / (len(mine) + np.diff(starts) - both)
 
-    Buckets of a few lines are joined with themselves; larger ones give the links of a spanning forest of each group of
-    at most about 2 * chunk lines.
+
+def similar_forest(ids: list[int], sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect just what chains of similar pairs connect, fewer than there are ids."""
+    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in sets])))
+    flat = np.frombuffer(b"".join(sets), dtype=np.uint32)
+    left, links = np.ones(len(ids), dtype=bool), []
+    for root in range(len(ids)):
+        reached = [root] if left[root] else []
+        left[root] = False
+        while reached and left.any():
+            at = reached.pop()
+            near = np.flatnonzero(left & (overlaps(flat[starts[at] : starts[at + 1]], flat, starts) >= similarity)).tolist()
+            links += [(ids[at], ids[i]) for i in near]
+            left[near] = False
+            reached += near
+    return links
+
+
+def similar_links(lines: DataFrame, sets: DataFrame, similarity: float, few: int = 32, chunk: int = 256) -> DataFrame:
+    """``a, b``: links between hashes of distinct lines (``h, keys``) that connect what similar pairs connect.
+
+    sets: ``h, shingles`` of at least all lines, repeats allowed; those of colliding lines are fetched once. Buckets of a
+    few lines are joined with themselves; larger ones give the links of a spanning forest of each group of at most about
+    2 * chunk lines.
     """
     small, large = spread_buckets(lines.select("h", F.explode("keys").alias("key")), "key", few, chunk, F.xxhash64("h"))
     other = small.select("key", F.col("h").alias("g"))
-    pairs = small.join(other, "key").where("h < g").select("h", "g").distinct()
-    sets = lines.select("h", "shingles")
+    pairs = materialize(small.join(other, "key").where("h < g").select("h", "g").distinct(), "pairs")
+    wanted = pairs.select("h").union(pairs.select("g")).union(large.select("h")).distinct()
+    sets = materialize(sets.join(wanted, "h").groupBy("h").agg(F.any_value("shingles").alias("shingles")), "sets")
     pairs = pairs.join(sets, "h").join(sets.select(F.col("h").alias("g"), F.col("shingles").alias("others")), "g")
     schema = arrow_schema("a long, b long")
 
@@ -188,15 +213,8 @@ def similar_links(lines: DataFrame, similarity: float, few: int = 32, chunk: int
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in held], type=pa.int64()) for v in (a, b)], schema=schema)
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        left, links = dict(sorted(zip(group["h"], group["shingles"], strict=True))), []
-        while left:
-            reached = [left.popitem()]
-            while reached and left:
-                at, mine = reached.pop()
-                near = [h for h, other in left.items() if jaccard(mine, other) >= similarity]
-                links += [(at, h) for h in near]
-                reached += [(h, left.pop(h)) for h in near]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        group = group.drop_duplicates("h")
+        return pd.DataFrame(similar_forest(group["h"].tolist(), group["shingles"].tolist(), similarity), columns=["a", "b"], dtype="int64")
 
     forests = large.join(sets, "h").groupBy("key", "__c", "__d").applyInPandas(forest, "a long, b long")
     return pairs.select("h", "g", "shingles", "others").mapInArrow(verify, "a long, b long").union(forests)
@@ -214,16 +232,19 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float
     rows = 2
     table = paragraph_table(docs, min_words, run, passage, tune_bands(similarity, recall, rows), rows)
     lines, runs = table.where("keys is not null"), table.where("keys is null")
-    summed = [F.min("row").alias("low"), F.max("row").alias("high"), F.min(_place()).alias("place")]
-    found = runs.groupBy("h").agg(*summed).where("low <> high").select("h", "place")
-    marked = runs.join(found, "h")
-
-    distinct = materialize(lines.groupBy("h").agg(*summed, F.any_value("keys").alias("keys"), F.any_value("shingles").alias("shingles")), "lines")
-    linked = connected_components(similar_links(distinct, similarity)).withColumnRenamed("node", "h")
-    classes = distinct.drop("keys", "shingles").join(linked, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    least = classes.groupBy("component").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("place").alias("first_place")).where("lowest <> highest")
-    found = classes.select("h", "component").join(least, "component").select("h", F.col("first_place").alias("place"))
-    marked = marked.select("doc_id", "row", "first", "last", "place").union(lines.join(found, "h").select("doc_id", "row", "first", "last", "place"))
+    ends = [F.min("row").alias("low"), F.max("row").alias("high")]
+    shared = runs.groupBy("h").agg(*ends).where("low <> high").select("h")
+    runs = runs.join(shared, "h").select("h", "doc_id", "row", "first", "last")
+
+    distinct = materialize(lines.groupBy("h").agg(*ends, F.any_value("keys").alias("keys")), "lines")
+    linked = connected_components(similar_links(distinct.select("h", "keys"), lines.select("h", "shingles"), similarity)).withColumnRenamed("node", "h")
+    classes = distinct.drop("keys").join(linked, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    wide = classes.groupBy("component").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest <> highest").select("component")
+    lines = lines.join(classes.select("h", "component").join(wide, "component"), "h").select(F.col("component").alias("h"), "doc_id", "row", "first", "last")
+
+    marked = materialize(runs.withColumn("line", F.lit(False)).union(lines.withColumn("line", F.lit(True))), "marked")
+    firsts = marked.groupBy("h", "line").agg(F.min(_place()).alias("place"))
+    marked = marked.join(firsts, ["h", "line"])
     return marked.select("doc_id", "row", "first", "last", F.nullif(F.col("place.doc_id"), F.lit(LAST)).alias("component_id"), (_place() != F.col("place")).alias("removed"))
 
 
