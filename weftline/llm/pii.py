@@ -125,7 +125,10 @@ def discoveries(docs: DataFrame, spans: DataFrame, base: DataFrame, confidence:
     edges = materialize(known.union(loose.select("pattern", "match", F.lit(-1)).distinct()), "graph")
     enough = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= seeds)
     sizes = edges.groupBy("pattern").agg(F.countDistinct("match").alias("n"))
-    enough = materialize(enough.join(sizes, "pattern"), "patterns")
+    # candidates are believed at most wholly, so what cannot reach the confidence then never will
+    free = edges.where("kind < 0").groupBy("pattern").agg(F.countDistinct("match").alias("free"))
+    enough = enough.join(sizes, "pattern").join(free, "pattern").where((F.col("support") + F.col("free")) / (F.col("n") + 1) >= confidence).drop("free")
+    enough = materialize(enough, "patterns")
     if enough.head(1):
         named = seen.select("pattern").union(loose.select("pattern")).groupBy("pattern").agg(F.count("*").alias("named"))
         often = _followed(docs, enough.select("pattern").distinct()).join(named, "pattern").where(F.col("times") > 2 * F.col("named"))
