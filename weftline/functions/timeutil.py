@@ -58,7 +58,7 @@ def parse_ns_column(text: Column) -> Column:
     )
     clock = F.when(part[1] == "", F.lit("00:00:00")).otherwise(part[1])
     hms = [F.substring(clock, i, 2).cast("int") for i in (1, 4, 7)]
-    day = F.try_to_date(part[0], F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(part[0], "yyyy-MM-dd")
     fine = F.rlike(trimmed, F.lit(STAMP)) & day.isNotNull() & (hms[0] <= 23) & (hms[1] <= 59) & (hms[2] <= 59)
     seconds = F.unix_date(day).cast("long") * 86_400 + hms[0] * 3600 + hms[1] * 60 + hms[2] - offset
     fraction = F.substring(F.rpad(part[2], 9, "0"), 1, 9).cast("long")

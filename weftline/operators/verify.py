@@ -28,7 +28,7 @@ def violations(nodes: DataFrame, edges: DataFrame, log: DataFrame, check_fold: b
     """All violations; none for a sound graph. The last check compares the stored edges with the fold of the log."""
 
     def repeated(df: DataFrame, key: str, of: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count("*").alias("n"), F.min(of).alias(of)).where("n > 1")
+        return df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"), F.min(of).alias(of)).where("n > 1")
 
     confidence = F.col("confidence")
     found = [

@@ -22,7 +22,7 @@ def format_of(path: str, given: str | None = None) -> str:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``line, number`` of all lines that are not blank, numbered from 1 within their file if it is read in one piece."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     each = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r\n", "\n"), "\n")).alias("at", "line"))
     return each.select((F.col("at") + 1).alias("number"), F.trim("line").alias("line")).where("line <> ''")
 
