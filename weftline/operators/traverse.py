@@ -109,16 +109,16 @@ def bounded_path(edges: DataFrame, source: str, target: str, at_ns: int, longest
 def revision_chain(edges: DataFrame, edge_id: int, longest: int = 10_000) -> DataFrame:
     """The edge and the ones it replaces, ``position`` from 0; no row if it does not exist; loops are cut off.
 
-    Only edges that replace another, and their ids, take part in the recursion.
+    Only the ids of edges that replace another take part in the recursion, from a narrow copy.
     """
     spark = edges.sparkSession
     name = f"chain_{uuid.uuid4().hex}"
-    edges.select("edge_id", "supersedes").createOrReplaceTempView(name)
+    _cut(edges.where("supersedes IS NOT NULL").select("edge_id", "supersedes")).createOrReplaceTempView(name)
     chain = spark.sql(f"""
-        WITH RECURSIVE chain(edge_id, supersedes, position, seen) MAX RECURSION LEVEL {longest} AS (
-          SELECT edge_id, supersedes, 0, array(edge_id) FROM {name} WHERE edge_id = {int(edge_id)}
+        WITH RECURSIVE chain(edge_id, position, seen) MAX RECURSION LEVEL {longest} AS (
+          SELECT CAST({int(edge_id)} AS BIGINT), 0, array(CAST({int(edge_id)} AS BIGINT))
           UNION ALL
-          SELECT e.edge_id, e.supersedes, position + 1, array_append(seen, e.edge_id)
-          FROM chain c JOIN {name} e ON e.edge_id = c.supersedes WHERE NOT array_contains(seen, e.edge_id))
+          SELECT e.supersedes, position + 1, array_append(seen, e.supersedes)
+          FROM chain c JOIN {name} e ON e.edge_id = c.edge_id WHERE NOT array_contains(seen, e.supersedes))
         SELECT edge_id, position FROM chain""")
     return edges.join(chain, "edge_id").select(*edges.columns, "position")

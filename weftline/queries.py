@@ -11,7 +11,7 @@ from .functions.predicates import conjunction
 from .operators import diff, temporal, traverse, verify
 from .plans.compiler import Compiler
 from .schema import EDGES, NODES, PROPS
-from .sources.fixtures import T_NS, event_log, order_graph, purchase_chains, purchase_log
+from .sources.fixtures import T_NS, event_log, purchase_chains, purchase_log, stored_order_graph
 
 VIEW = [c for c in EDGES.names if c not in ("from_id", "to_id", "confidence", "supersedes", "props")]
 TEXT_T = "1999-01-01T00:00:00Z"
@@ -24,7 +24,7 @@ _starts: dict[str, tuple[str, str]] = {}
 def start_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The customer with most live orders, least key first, and the nation with the least key a supplier is in."""
     if sf_dir not in _starts:
-        live = order_graph(spark, sf_dir).where("edge_type = 'PLACED'").where(temporal.live(T_NS))
+        live = stored_order_graph(spark, sf_dir).where("edge_type = 'PLACED'").where(temporal.live(T_NS))
         best = live.groupBy("from_id").count().orderBy(F.desc("count"), "from_id").first()
         nation = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.min("s_nationkey")).first()[0]
         _starts[sf_dir] = (f"customer:{best.from_id}", f"nation:{nation}")
@@ -36,7 +36,7 @@ def view(edges: DataFrame, *more: str) -> DataFrame:
 
 
 def _on_graph(f: Callable[[DataFrame, str, str], DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: view(f(order_graph(spark, sf_dir), *start_of(spark, sf_dir)), *more)
+    return lambda spark, sf_dir: view(f(stored_order_graph(spark, sf_dir), *start_of(spark, sf_dir)), *more)
 
 
 def _where(*term) -> Callable[[SparkSession, str], DataFrame]:
@@ -47,7 +47,7 @@ def _everywhere(*term) -> Callable[[SparkSession, str], DataFrame]:
     """A WHERE over all live edges: how many, by type."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return temporal.as_of(order_graph(spark, sf_dir), T_NS).where(conjunction([term])).groupBy("edge_type").agg(F.count("*").alias("n"), F.sum(F.pmod("edge_id", F.lit(1_000_003))).alias("ids"))
+        return temporal.as_of(stored_order_graph(spark, sf_dir), T_NS).where(conjunction([term])).groupBy("edge_type").agg(F.count("*").alias("n"), F.sum(F.pmod("edge_id", F.lit(1_000_003))).alias("ids"))
 
     return run
 
@@ -55,7 +55,7 @@ def _everywhere(*term) -> Callable[[SparkSession, str], DataFrame]:
 def _dsl(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         start, nation = start_of(spark, sf_dir)
-        result = Compiler(order_graph(spark, sf_dir), None, event_log(spark, sf_dir)).run(text.format(start=start, nation=nation))
+        result = Compiler(stored_order_graph(spark, sf_dir), None, event_log(spark, sf_dir)).run(text.format(start=start, nation=nation))
         return _entries(result.rows) if result.kind == "diff" else view(result.rows)
 
     return run
@@ -67,13 +67,13 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ends of the order graph but the nations."""
-    edges = order_graph(spark, sf_dir)
+    edges = stored_order_graph(spark, sf_dir)
     ends = edges.select(F.col("from_id").alias("node_id"), F.col("from_ext_id").alias("ext_id")).union(edges.select("to_id", "to_ext_id")).distinct()
     return ends.where("ext_id not like 'nation:%'").select("node_id", "ext_id", F.split("ext_id", ":")[0].alias("node_type"), F.lit(0).cast("long").alias("created_at_ns"), F.create_map().cast(PROPS).alias("props")).select(*NODES.names)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, log = order_graph(spark, sf_dir), event_log(spark, sf_dir)
+    edges, log = stored_order_graph(spark, sf_dir), event_log(spark, sf_dir)
     nodes = edges.select("from_ext_id").union(edges.select("to_ext_id")).distinct()
     strings = edges.select(F.explode(F.array("edge_type", "source")).alias("s")).where("s <> ''").distinct()
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("nodes", nodes), ("edges", edges), ("events", log), ("strings", strings))]
@@ -82,7 +82,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer, at the instant of the last order: the edges live then."""
-    edges = order_graph(spark, sf_dir)
+    edges = stored_order_graph(spark, sf_dir)
     points = edges.where("edge_type = 'PLACED'").groupBy(F.col("from_ext_id").alias("ext_id")).agg(F.max("valid_from_ns").alias("at_ns"))
     return temporal.as_of_many(edges, points).groupBy("ext_id", "at_ns").agg(F.count("*").alias("n"), F.min("edge_id").alias("least"), F.max("edge_id").alias("most"))
 
@@ -100,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbors_as_of": _on_graph(lambda g, s, _: temporal.neighbors(g, s, T_NS)),
         "reverse_neighbors_as_of": _on_graph(lambda g, _, n: temporal.reverse_neighbors(g, n, T_NS)),
         "who_connected": _on_graph(lambda g, _, n: temporal.connected(g, n, T_NS), "direction"),
-        "as_of_all": lambda spark, d: temporal.as_of(order_graph(spark, d), T_NS).groupBy("edge_type").agg(F.count("*").alias("n"), F.min("valid_from_ns").alias("first"), F.max("valid_to_ns").alias("last")),
+        "as_of_all": lambda spark, d: temporal.as_of(stored_order_graph(spark, d), T_NS).groupBy("edge_type").agg(F.count("*").alias("n"), F.min("valid_from_ns").alias("first"), F.max("valid_to_ns").alias("last")),
         "as_of_many": as_of_many,
         "neighbors_where_type": _where("type", "=", "PLACED"),
         "neighbors_where_source": _where("source", ">=", "3"),
@@ -121,15 +121,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "path_none": _on_graph(lambda g, s, n: traverse.bounded_path(g, n, s, T_NS), "step"),
         "diff_entries": lambda spark, d: _entries(diff.diff_entries(event_log(spark, d), *LOG_NS)),
         "diff_summary": lambda spark, d: diff.diff_summary(event_log(spark, d), *LOG_NS),
-        "what_changed": lambda spark, d: Compiler(order_graph(spark, d), None, event_log(spark, d)).run(f'WHAT CHANGED BETWEEN "{LOG_FROM}" AND "{LOG_TO}" FOR NODE "any"').summary,
+        "what_changed": lambda spark, d: Compiler(stored_order_graph(spark, d), None, event_log(spark, d)).run(f'WHAT CHANGED BETWEEN "{LOG_FROM}" AND "{LOG_TO}" FOR NODE "any"').summary,
         "events_between": lambda spark, d: diff.events_between(event_log(spark, d), *LOG_NS).select("event_id", "recorded_at_ns", "kind", "target_node_id"),
         "edge_state_fold": lambda spark, d: view(temporal.fold_edges(purchase_log(spark, d))),
         "edge_state_as_recorded": lambda spark, d: view(temporal.fold_edges(temporal.recorded_until(purchase_log(spark, d), LOG_NS[1]))),
         "revision_chain": chain,
         "stats": stats,
         "all_nodes": lambda spark, d: _nodes(spark, d).select("node_id", "ext_id", "node_type").orderBy("ext_id"),
-        "all_edges": lambda spark, d: view(order_graph(spark, d)).orderBy("edge_id"),
-        "verify_dangling": lambda spark, d: verify.dangling(order_graph(spark, d), _nodes(spark, d)).groupBy("check").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")),
+        "all_edges": lambda spark, d: view(stored_order_graph(spark, d)).orderBy("edge_id"),
+        "verify_dangling": lambda spark, d: verify.dangling(stored_order_graph(spark, d), _nodes(spark, d)).groupBy("check").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")),
         "dsl_neighbors": _dsl('FIND NEIGHBORS OF "{start}"' + at + ' WHERE type = "PLACED" AND confidence >= 0.2 LIMIT 10'),
         "dsl_hops": _dsl('find 2 hops from "{start}" before "1999-01-01" where source != "x"'),
         "dsl_path": _dsl('SHOW PATH FROM "{start}" TO "{nation}"' + at),

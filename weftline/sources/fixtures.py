@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,29 @@ def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_graph() loaded once into a Parquet copy that is clustered by the node edges leave, as a store's edges are.
+
+    The copy is in the shared folder and belongs to this session and to these input files, by size and time; scans of it prune
+    by node and instant, which the derived columns of the plain tables cannot.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return order_graph(spark, sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    held = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)))
+    key = (spark.sparkContext.applicationId, folder, held)
+    if key not in _stored:
+        at = f"{folder.rstrip('/')}/weftline/graph-{uuid.uuid4().hex}"
+        order_graph(spark, sf_dir).repartitionByRange("from_ext_id").sortWithinPartitions("from_ext_id", "valid_from_ns").write.parquet(at)
+        _stored[key] = at
+    return spark.read.schema(EDGES).parquet(_stored[key])
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of EVENTS columns from events, a kind for each type; targets are the users."""
     kinds = {"signup": 1, "purchase": 3, "error": 4, "click": 5, "view": 6}
