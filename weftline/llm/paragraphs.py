@@ -168,26 +168,45 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def overlaps(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Similarity of one sorted set with each of several, which stand one after another, none empty."""
-    both = np.add.reduceat(np.isin(others, mine).astype(np.int64), starts[:-1])
-    return both / (len(mine) + np.diff(starts) - both)
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """jaccard() of at least so much; sets of too different sizes need no look."""
+    small, large = sorted((len(a), len(b)))
+    return small >= similarity * large and jaccard(a, b) >= similarity
+
+
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, by products of their incidence matrix, ``width`` shared elements at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    rows, column = rows[shared[column]], number[column[shared[column]]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(shared.sum()), width):
+        here = (column >= low) & (column < low + width)
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[rows[here], column[here] - low] = 1
+        out += part @ part.T
+    return out
 
 
 def similar_forest(ids: list[int], sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
     """Links that connect just what chains of similar pairs connect, fewer than there are ids."""
-    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in sets])))
-    flat = np.frombuffer(b"".join(sets), dtype=np.uint32)
+    held = [np.frombuffer(x, dtype=np.uint32) for x in sets]
+    if len(held) < 2:
+        return []
+    both, size = common_counts(held), np.array([len(x) for x in held])
+    near = both.astype(np.float64) / (size[:, None] + size[None, :] - both) >= similarity
     left, links = np.ones(len(ids), dtype=bool), []
     for root in range(len(ids)):
         reached = [root] if left[root] else []
         left[root] = False
-        while reached and left.any():
+        while reached:
             at = reached.pop()
-            near = np.flatnonzero(left & (overlaps(flat[starts[at] : starts[at + 1]], flat, starts) >= similarity)).tolist()
-            links += [(ids[at], ids[i]) for i in near]
-            left[near] = False
-            reached += near
+            found = np.flatnonzero(left & near[at])
+            left[found] = False
+            links += [(ids[at], ids[i]) for i in found]
+            reached += found.tolist()
     return links
 
 
@@ -209,7 +228,7 @@ def similar_links(lines: DataFrame, sets: DataFrame, similarity: float, few: int
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            held = [i for i in range(len(a)) if jaccard(x[i], y[i]) >= similarity]
+            held = [i for i in range(len(a)) if alike(x[i], y[i], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in held], type=pa.int64()) for v in (a, b)], schema=schema)
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
