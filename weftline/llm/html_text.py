@@ -80,10 +80,14 @@ class Page:
                 return
 
     def _read(self, html: str) -> None:
-        at, held = 0, self._held
+        at, held, last = 0, self._held, html.rfind(">")
+        if html.find("<!--", last + 1) < 0:  # no tag begins after the last that ends; don't look for one from every <
+            tail, html = html[last + 1 :], html[: last + 1]
+        else:
+            tail = ""
         while True:
             m = TOKEN.search(html, at)
-            text = html[at : m.start() if m else len(html)]
+            text = html[at : m.start()] if m else html[at:] + tail
             if text and not self.out[self._open[-1]]:
                 self.segments.append((self._open[-1], self.block, unescape(text)))
             if not m:
@@ -188,13 +192,11 @@ def main_text(html: str) -> str:
         inner = path[:body] or [best]
         threshold = min(density[i] for i in inner)
         kept = [(best, page.end[best])]
-        around = set(inner)
+        on_path = set(path)
         for i in range(1, len(page.tag)):
-            if page.out[i] or page.parent[i] in path[1:] and i in around:
-                continue
-            near = page.parent[i] in path[1:]
-            if near and (density[i] >= threshold or page.tag[i] in HEADINGS and i < best):
-                kept.append((i, page.end[i]))
+            if i not in on_path and not page.out[i] and page.parent[i] in on_path and page.parent[i] != best:
+                if density[i] >= threshold or page.tag[i] in HEADINGS and i < best:
+                    kept.append((i, page.end[i]))
         kept.sort()
     inside = [False] * len(page.tag)
     for a, b in kept:
