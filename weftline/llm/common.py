@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +35,39 @@ def white_words(text: bytes) -> list[bytes]:
 # ---------------------------------------------------------------- shared scratch space
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder all executors share, named by spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if (app := spark.sparkContext.applicationId) not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="weftline-")
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where this application's tables go; clear_scratch() removes them all once no result of an operator is needed any more."""
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    _delete(spark, scratch(spark))
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._weftline_path = path
@@ -60,9 +78,7 @@ def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_weftline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 # ---------------------------------------------------------------- texts in Arrow batches
@@ -113,12 +129,6 @@ def map_texts(df: DataFrame, columns: list[str], row: Callable[[bytes], tuple],
     return df.select(*columns).mapInArrow(run, spec)
 
 
-def bytes_hash(values: Iterable[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(v, 42) for v in values), dtype=np.uint64)
-
-
 # ---------------------------------------------------------------- joins beside a checked size
 
 
