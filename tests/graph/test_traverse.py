@@ -19,6 +19,8 @@ def test_order_ties_and_paths_as_a_queue(spark, seed):
         want, _ = plain_search(rows, "a", hops, 4)
         got = temporal.in_order(traverse.n_hops(frame, "a", hops, 4), "depth", "path").collect()
         assert [r.edge_id for r in got] == want, hops
+    stepwise = temporal.in_order(traverse.n_hops(frame, "a", 3, 4, unrolled=0), "depth", "path").collect()
+    assert [r.edge_id for r in stepwise] == plain_search(rows, "a", 3, 4)[0]
     _, paths = plain_search(rows, "a", 99, 4)
     for target in "abcdefg":
         found = traverse.shortest_path(frame, "a", target, 4)

@@ -16,6 +16,8 @@ from .temporal import as_of
 
 #: Up to so many hops are one lazy plan; beyond, levels are written out so that visited nodes are never expanded again.
 UNROLLED = 4
+#: A frontier of at most so many nodes is named in the scan's filter.
+NAMED = 500
 PATH = "array<struct<vf:bigint,id:bigint>>"
 
 
@@ -45,10 +47,21 @@ def _expand(slim: DataFrame, frontier: DataFrame) -> DataFrame:
     return slim.join(frontier, "node").groupBy(F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("step"))).alias("path"))
 
 
-def reached(edges: DataFrame, start: str, depth: int, at_ns: int) -> DataFrame:
-    """``node, path`` of all nodes at most ``depth`` edges from start."""
+def _step(slim: DataFrame, frontier: DataFrame) -> DataFrame:
+    """_expand() of a frontier that is written out. The names of a small one go into the scan, which then skips row groups of
+    edges clustered by node; a larger one is joined."""
+    names = [r.node for r in frontier.select("node").limit(NAMED + 1).collect()]
+    return _expand(slim.where(F.col("node").isin(names)) if len(names) <= NAMED else slim, frontier)
+
+
+def reached(edges: DataFrame, start: str, depth: int, at_ns: int, unrolled: int = UNROLLED) -> DataFrame:
+    """``node, path`` of all nodes at most ``depth`` edges from start.
+
+    Up to ``unrolled`` edges that is one lazy plan with a scan for each level; with 0, every level is a job of its own, which on
+    a large graph in clustered files reads only what the level needs.
+    """
     slim = _slim(edges, at_ns)
-    if depth <= UNROLLED:
+    if depth <= unrolled:
         level = _start(edges, start)
         every = level
         for _ in range(depth):
@@ -59,19 +72,19 @@ def reached(edges: DataFrame, start: str, depth: int, at_ns: int) -> DataFrame:
     level = _cut(_start(edges, start))
     every = level
     for _ in range(depth):
-        level = _cut(_expand(slim, level).join(every.select("node"), "node", "left_anti"))
+        level = _cut(_step(slim, level).join(every.select("node"), "node", "left_anti"))
         if not level.head(1):
             break
         every = every.union(level)
     return every
 
 
-def n_hops(edges: DataFrame, start: str, hops: int, at_ns: int) -> DataFrame:
+def n_hops(edges: DataFrame, start: str, hops: int, at_ns: int, unrolled: int = UNROLLED) -> DataFrame:
     """Live edges out of nodes fewer than ``hops`` edges from start, with ``depth`` and ``path`` of their source to sort by."""
     live = as_of(edges, at_ns)
     if hops <= 0:
         return live.limit(0).withColumn("depth", F.lit(0)).withColumn("path", F.array().cast(PATH))
-    found = reached(edges, start, hops - 1, at_ns).select(F.col("node").alias("from_ext_id"), F.size("path").alias("depth"), "path")
+    found = reached(edges, start, hops - 1, at_ns, unrolled).select(F.col("node").alias("from_ext_id"), F.size("path").alias("depth"), "path")
     return live.join(found, "from_ext_id").select(*edges.columns, "depth", "path")
 
 
@@ -87,7 +100,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, at_ns: int, longes
     level = _cut(_start(edges, source))
     every, depth = level, 0
     while longest is None or depth < longest:
-        level = _cut(_expand(slim, level).join(every.select("node"), "node", "left_anti"))
+        level = _cut(_step(slim, level).join(every.select("node"), "node", "left_anti"))
         depth += 1
         found = level.where(F.col("node") == target).select("path").head(1)
         if found:
