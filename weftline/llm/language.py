@@ -153,9 +153,8 @@ def train(docs: DataFrame, texts_per_lang: int = 2000, grams_per_lang: int = 400
 
 def predict(docs: DataFrame, filters: Filters, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, ``lang_pred, score`` of every row of docs; only its text is looked at."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)
     spec = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, ".replace("bigint", "long") for c in columns) + "lang_pred string, score double"
-    return map_texts(docs, [*columns, "text"], lambda t: held.value.decide(t.decode("utf-8", "replace")), spec)
+    return map_texts(docs, [*columns, "text"], lambda t: filters.decide(t.decode("utf-8", "replace")), spec)
 
 
 def language_of_documents(docs: DataFrame, texts_per_lang: int = 2000, grams_per_lang: int = 4000) -> DataFrame:
