@@ -149,6 +149,10 @@ def test_writes(spark, tmp_path):
         first.commit()
     db.store.compact()
     packed = db.read()
+    assert packed.version.folders["edges_in"] and ids(packed.reverse_neighbors_as_of("c", "2026-05-02")) == [new]
+    with db.write() as w:
+        late = w.add_edge("z", "c", "T", valid_from="2026-05-01")
+    assert ids(db.read().reverse_neighbors_as_of("c", "2026-05-02")) == [new, late] and ids(db.query('WHO WAS CONNECTED TO "c" ON "2026-05-02"')) == [new, late]
     assert packed.verify().errors == [] and packed.get_edge(e).valid_to == "2026-05-01T00:00:00Z"
     _, edges = packed.recorded_until(s.version.recorded_at_ns)
     assert [(r.edge_id, r.valid_to_ns) for r in edges.collect()] == [(e, None)]

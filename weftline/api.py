@@ -114,6 +114,7 @@ class Snapshot:
         self.store, self.clock = store, clock
         self.version = store.version() if version is None else version
         self.nodes, self.edges, self.log = store.read("nodes", self.version), store.edges(self.version), store.read("log", self.version)
+        self.entering = store.edges(self.version, entering=True)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -153,7 +154,7 @@ class Snapshot:
         return temporal.in_order(temporal.neighbors(self.edges, node, instant(at, self.clock)))
 
     def reverse_neighbors_frame(self, node: str, at=None) -> DataFrame:
-        return temporal.in_order(temporal.reverse_neighbors(self.edges, node, instant(at, self.clock)))
+        return temporal.in_order(temporal.reverse_neighbors(self.entering, node, instant(at, self.clock)))
 
     def n_hops_frame(self, node: str, hops: int, at=None) -> DataFrame:
         return temporal.in_order(traverse.n_hops(self.edges, node, hops, instant(at, self.clock)), "depth", "path").select(*EDGES.names)
@@ -216,7 +217,7 @@ class Snapshot:
         return VerifyReport(lines, found)
 
     def compiler(self, strict_for_node: bool = False) -> Compiler:
-        return Compiler(self.edges, self.nodes, self.log, self.clock, strict_for_node)
+        return Compiler(self.edges, self.nodes, self.log, self.clock, strict_for_node, self.entering)
 
     def run(self, query: str) -> Result:
         return self.compiler().run(query)

@@ -29,10 +29,13 @@ def reverse_neighbors(edges: DataFrame, node: str, at_ns: int) -> DataFrame:
     return edges.where((F.col("to_ext_id") == node) & live(at_ns))
 
 
-def connected(edges: DataFrame, node: str, at_ns: int) -> DataFrame:
-    """Live edges out of a node, then those into it, in column ``direction`` 0 and 1; a loop is in both."""
+def connected(edges: DataFrame, node: str, at_ns: int, entering: DataFrame | None = None) -> DataFrame:
+    """Live edges out of a node, then those into it, in column ``direction`` 0 and 1; a loop is in both.
+
+    entering: another frame of the same edges to look for those into it.
+    """
     out = neighbors(edges, node, at_ns).withColumn("direction", F.lit(0))
-    return out.unionByName(reverse_neighbors(edges, node, at_ns).withColumn("direction", F.lit(1)))
+    return out.unionByName(reverse_neighbors(edges if entering is None else entering, node, at_ns).withColumn("direction", F.lit(1)))
 
 
 def in_order(edges: DataFrame, *before: str, limit: int | None = None) -> DataFrame:

@@ -29,9 +29,11 @@ class Result:
 
 
 class Compiler:
-    """edges, nodes and log of one state of a graph. strict_for_node makes FOR NODE keep that node's events only."""
+    """edges, nodes and log of one state of a graph; entering: the same edges, clustered by the node they enter. strict_for_node
+    makes FOR NODE keep that node's events only."""
 
-    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, log: DataFrame | None = None, clock: Callable[[], int] = now_ns, strict_for_node: bool = False):
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, log: DataFrame | None = None, clock: Callable[[], int] = now_ns, strict_for_node: bool = False, entering: DataFrame | None = None):
+        self.entering = edges if entering is None else entering
         self.edges, self.nodes, self.log, self.clock, self.strict = edges, nodes, log, clock, strict_for_node
 
     def _exists(self, node: str) -> str:
@@ -57,7 +59,7 @@ class Compiler:
 
     def _connected(self, query: Query) -> Result:
         node = self._exists(query.node)
-        return Result("edges", self._finish(temporal.connected(self.edges, node, self._instant(query)), query, "direction"))
+        return Result("edges", self._finish(temporal.connected(self.edges, node, self._instant(query), self.entering), query, "direction"))
 
     def _hops(self, query: Query) -> Result:
         node = self._exists(query.node)

@@ -1,7 +1,7 @@
 """A graph on disk: Parquet folders, and commit files that name them. A commit file is the only thing that publishes.
 
     root/_meta.json                     what this is
-    root/data/<table>/<uuid>/           nodes, edges, cuts (invalidations), log; written once, never changed
+    root/data/<table>/<uuid>/           nodes, edges, edges_in, cuts (invalidations), log; written once, never changed
     root/commits/<version>.json         folders of all tables at that version, counters, counts
 
 A snapshot is one version: readers never see later commits. Writers prepare folders and then create the next version's
@@ -25,7 +25,8 @@ from ..schema import EDGES, EVENTS, NODES
 
 MAGIC, VERSION = "weftline-graph", 1
 CUTS = T.StructType([T.StructField("edge_id", T.LongType()), T.StructField("at_ns", T.LongType())])
-TABLES = {"nodes": NODES, "edges": EDGES, "cuts": CUTS, "log": EVENTS}
+#: edges_in is a second copy of the edges that compact() wrote, by the node they enter.
+TABLES = {"nodes": NODES, "edges": EDGES, "edges_in": EDGES, "cuts": CUTS, "log": EVENTS}
 
 
 class Files:
@@ -120,14 +121,22 @@ class Store:
         return Version(**json.loads(self.files.read(f"commits/{number:020}.json")))
 
     def read(self, table: str, version: Version) -> DataFrame:
-        folders = [f"{self.files.root}/data/{table}/{f}" for f in version.folders[table]]
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(*folders)
-
-    def edges(self, version: Version) -> DataFrame:
-        """Edges with their ends: the least of the first one and of all invalidations."""
-        edges = self.read("edges", version)
+        return self._folders([f"{table}/{f}" for f in version.folders[table]], TABLES[table])
+
+    def _folders(self, names: list[str], schema: T.StructType) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.files.root}/data/{n}" for n in names))
+
+    def edges(self, version: Version, entering: bool = False) -> DataFrame:
+        """Edges with their ends: the least of the first one and of all invalidations.
+
+        ``entering``: from the copy by the node edges enter as far as there is one, for queries that name that node.
+        """
+        held = [f"edges/{f}" for f in version.folders["edges"]]
+        if entering and version.folders["edges_in"]:
+            held[0] = f"edges_in/{version.folders['edges_in'][0]}"  # a compacted version's first folder is the copied one
+        edges = self._folders(held, EDGES)
         if not version.folders["cuts"]:
             return edges
         cuts = self.read("cuts", version).groupBy("edge_id").agg(F.min("at_ns").alias("__cut"))
@@ -150,12 +159,12 @@ class Store:
             raise StorageError(f"another writer has committed version {new.number}")
 
     def compact(self, files_for: dict[str, int] | None = None) -> Version:
-        """A version with one folder for each table, edges with their ends set, sorted by node so that files prune."""
+        """A version with one folder for each table, edges with their ends set and in two copies, sorted by node so that files prune."""
         base = self.version()
-        staged, clustered = {}, {"nodes": "ext_id", "edges": "from_ext_id", "log": "recorded_at_ns"}
+        staged, clustered = {}, {"nodes": "ext_id", "edges": "from_ext_id", "edges_in": "to_ext_id", "log": "recorded_at_ns"}
         for t, key in clustered.items():
-            if base.folders[t]:
-                rows = self.edges(base) if t == "edges" else self.read(t, base)
+            if base.folders["edges" if t == "edges_in" else t]:
+                rows = self.edges(base) if t.startswith("edges") else self.read(t, base)
                 n = (files_for or {}).get(t)
                 rows = rows.repartitionByRange(n, key) if n else rows.repartitionByRange(key)
                 staged[t] = self.stage(t, rows.sortWithinPartitions(key))
