@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from .sources.store import CUTS, Store, Version
 
 #: A transaction keeps all names in memory if the graph has at most so many nodes; otherwise it looks each one up.
 FEW_NODES = 100_000
+ROWS_A_FILE = 250_000
 
 
 def instant(value: int | str | None, clock: Callable[[], int] = now_ns) -> int:
@@ -341,13 +343,18 @@ class WriteTxn:
         if not self.open:
             raise InternalError("the transaction is over")
         self.open = False
-        make = self.store.spark.createDataFrame
-        staged, added = {}, {}
-        for table, rows, schema in (("nodes", self.nodes, NODES), ("edges", [tuple(e) for e in self.edges.values()], EDGES), ("cuts", self.cuts, CUTS), ("log", self.log, EVENTS)):
-            if rows:
-                staged[table], added[table] = self.store.stage(table, make(rows, schema)), len(rows)
-        if not staged:
+        tables = {"nodes": (self.nodes, NODES), "edges": ([tuple(e) for e in self.edges.values()], EDGES), "cuts": (self.cuts, CUTS), "log": (self.log, EVENTS)}
+        added = {t: len(rows) for t, (rows, _) in tables.items() if rows}
+        if not added:
             return self.base
+
+        def stage(table: str) -> str:
+            rows, schema = tables[table]
+            files = 1 + len(rows) // ROWS_A_FILE
+            return self.store.stage(table, self.store.spark.createDataFrame(rows, schema, verifySchema=False).coalesce(files))
+
+        with ThreadPoolExecutor(len(added)) as pool:  # the tables' jobs are small and do not depend on each other
+            staged = dict(zip(added, pool.map(stage, added), strict=True))
         return self.store.publish(self.base, staged, added, self.last, self.at)
 
 
