@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, alnum_words, arrow_schema, pieces, texts
+from .common import CHUNK_BYTES, alnum_words, arrow_schema, materialize, pieces, texts
 from .fmindex import FMIndex
 
 
@@ -126,29 +126,37 @@ def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[ob
     yield block
 
 
-def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> Iterator[DataFrame]:
-    """For each block of items: every row of docs with its columns, then ``__words long, __spans array<long>, __items array<string>``.
+def block_spans(docs: DataFrame, block: list[tuple[object, bytes]], window: int = 10) -> DataFrame:
+    """Every row of docs with its columns, then ``__words long, __spans array<long>, __items array<string>`` for a block of items.
 
     Spans are in words of the whole text, end exclusive.
     """
     out = T.StructType([*docs.schema, T.StructField("__words", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
     added = arrow_schema("__words long, __spans array<long>, __items array<string>")
+    held = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(held.value, window)
+        for batch in batches:
+            for piece in pieces(batch, "text", CHUNK_BYTES):
+                made = shard_hits(texts(piece, "text"), phrases)
+                arrays = [pa.array(v, type=f.type) for v, f in zip((made[0], made[1], [sorted(x) for x in made[2]]), added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], schema=pa.schema([*piece.schema, *added]))
+
+    return docs.mapInArrow(run, out)
 
-    def frame(block: list[tuple[object, bytes]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(held.value, window)
-            for batch in batches:
-                for piece in pieces(batch, "text", CHUNK_BYTES):
-                    made = shard_hits(texts(piece, "text"), phrases)
-                    arrays = [pa.array(v, type=f.type) for v, f in zip((made[0], made[1], [sorted(x) for x in made[2]]), added, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], schema=pa.schema([*piece.schema, *added]))
+def block_filter(docs: DataFrame, block: list[tuple[object, bytes]], window: int = 10) -> DataFrame:
+    """The rows of docs in which no phrase of a block of items occurs."""
+    held = docs.sparkSession.sparkContext.broadcast(block)
 
-        return docs.mapInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(held.value, window)
+        for batch in batches:
+            for piece in pieces(batch, "text", CHUNK_BYTES):
+                yield piece.filter(pa.array([not s for s in shard_hits(texts(piece, "text"), phrases)[1]], type=pa.bool_()))
 
-    for block in item_blocks(benchmark, block_bytes):
-        yield frame(block)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _covered(spans: list[int]) -> int:
@@ -164,7 +172,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     With one block of items that is a single pass without a shuffle; with more, rows meet by doc_id and text hash.
     """
-    blocks = list(benchmark_spans(docs.select("doc_id", "text"), benchmark, window, block_bytes))
+    docs = docs.select("doc_id", "text")
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
     schema = arrow_schema("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,28 +187,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     spec = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     columns = ["doc_id", "__words", "__spans", "__items"]
-    if len(blocks) == 1:
-        return blocks[0].select(*columns).mapInArrow(digest, spec)
-    key = F.xxhash64("text").alias("__key")
-    every = blocks[0].select(*columns, key)
-    for b in blocks[1:]:
-        every = every.union(b.select(*columns, key))
+    if second is None:
+        return block_spans(docs, first, window).select(*columns).mapInArrow(digest, spec)
+    every, times = None, 0
+    for block in chain((first, second), blocks):  # one block at a time is held and sent
+        part = materialize(block_spans(docs, block, window).select(*columns, F.xxhash64("text").alias("__key")), "spans")
+        every, times = part if every is None else every.union(part), times + 1
     one = every.groupBy("doc_id", "__key", "__words").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.flatten(F.collect_list("__items")).alias("__items"), F.count("*").alias("__n"))
-    again = F.explode(F.sequence(F.lit(1), (F.col("__n") / len(blocks)).cast("int")))
+    again = F.explode(F.sequence(F.lit(1), (F.col("__n") / times).cast("int")))
     return one.select(*columns, again).select(*columns).mapInArrow(digest, spec)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """docs without the rows in which an item's phrase occurs; columns as they were, a pass over the rest for each block."""
-    out = docs
-    for block in item_blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(held.value, window)
-            for batch in batches:
-                for piece in pieces(batch, "text", CHUNK_BYTES):
-                    yield piece.filter(pa.array([not s for s in shard_hits(texts(piece, "text"), phrases)[1]], type=pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
+    blocks = item_blocks(benchmark, block_bytes)
+    out = block_filter(docs, next(blocks), window)
+    for block in blocks:
+        out = block_filter(materialize(out, "clean"), block, window)
     return out
