@@ -139,6 +139,9 @@ def test_writes(spark, tmp_path):
     with pytest.raises(RuntimeError), db.write() as w:
         w.add_edge("x", "y", "T")
         raise RuntimeError
+    with pytest.raises(ZeroDivisionError):
+        db.write_with(lambda w: (w.upsert_node("gone"), 1 / 0))
+    assert db.read_with(lambda r: r.node_id("gone")) is None and db.write_with(lambda w: w.upsert_node("a")) == 1
     assert db.read().stats() == later.stats() and Db(db.path, spark).read().stats() == later.stats()
     first, second = db.write(), db.write()
     first.upsert_node("n1"), second.upsert_node("n2")

@@ -370,6 +370,14 @@ class Db:
     def write(self) -> WriteTxn:
         return WriteTxn(self.store, self.clock)
 
+    def read_with(self, f: Callable[[Snapshot], object]) -> object:
+        return f(self.read())
+
+    def write_with(self, f: Callable[[WriteTxn], object]) -> object:
+        """What f returns; committed unless it raises."""
+        with self.write() as w:
+            return f(w)
+
     def run(self, query: str) -> Result:
         return self.read().run(query)
 
