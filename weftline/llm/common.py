@@ -157,9 +157,13 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
     Each pass aggregates with partial sums and joins on the node, so a hub with any number of edges is never gathered in one
     task; each pass is written to the shared folder. The number of passes grows with the logarithm of the longest chain.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     now = materialize(pairs, "edges")
+
+    def digest(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+
+    known = digest(now)
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -168,10 +172,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
         small = large.join(least, "u")
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         after = materialize(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        digest = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for d in (now, after)]
         discard(now)
-        now = after
-        if digest[0] == digest[1]:
+        now, before, known = after, known, digest(after)
+        if before == known:
             break
     else:
         raise RuntimeError(f"the components did not settle in {rounds} passes")
