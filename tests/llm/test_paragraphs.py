@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, documents, with_clash
-from weftline.llm.paragraphs import Sequence, Words, cut_words, jaccard, line_paragraphs, merged, passage_runs, repeated_paragraphs, repeated_spans, similar_forest, similar_links, tune_bands, without_repeats
+from weftline.llm.paragraphs import Sequence, Words, cut_words, jaccard, line_paragraphs, merged, passage_groups, passage_runs, repeated_paragraphs, repeated_spans, similar_forest, similar_links, tune_bands, without_repeats
 
 
 def plain_words(text):
@@ -45,6 +45,46 @@ def test_runs_are_the_least_of_each_paragraph(docs, run, more):
     assert all(h == values[i] for i, h in zip(first, hashes))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30).map(" ".join), min_size=1, max_size=4), st.integers(1, 5), st.integers(0, 6))
+def test_groups_hold_each_paragraph_once(docs, run, more):
+    passage = run + more
+    seq = Sequence([d.encode() for d in docs], Words())
+    values, found = seq.windows(run), []
+    for d, first, low, high, h in zip(*(x.tolist() for x in passage_groups(seq, run, passage))):
+        assert values[first] == h and low <= first <= low + more
+        assert all(values[i : i + more + 1].min() == h for i in range(low, high + 1))
+        found += [(d, i) for i in range(low, high + 1)]
+    assert found == [(d, i) for d in range(len(docs)) for i in range(seq.starts[d], seq.starts[d + 1] - passage + 1)]
+
+
+def test_whole_shared_passages_are_marked(spark):
+    r = random.Random(6)
+    rows = []
+    for i, n in enumerate([51, 51, 60, 60, 120, 120, 200] * 2):
+        p = prose(r, n)
+        rows += [(100 * i + j, prose(r, r.randrange(5, 90)) + " " + p + " " + prose(r, r.randrange(5, 90))) for j in range(3)]
+        cut = p.split()[: n // 2 + 15]  # a shorter, earlier part of it, so that neighbourhoods differ
+        rows.append((100 * i - 1, prose(r, 40) + " " + " ".join(cut) + " " + prose(r, 40)))
+    words = {d: plain_words(t) for d, t in rows}
+    places = defaultdict(list)
+    for d in sorted(words):
+        for k in range(len(words[d]) - 50):
+            places[tuple(words[d][k : k + 51])].append((d, k))
+    want, gone = defaultdict(set), defaultdict(set)
+    for held in places.values():
+        if len({d for d, _ in held}) > 1:
+            for d, k in held:
+                want[d] |= set(range(k, k + 51))
+                gone[d] |= set(range(k, k + 51)) if (d, k) != held[0] else set()
+    got, removed = defaultdict(set), defaultdict(set)
+    for x in repeated_spans(documents(spark, rows)).collect():
+        span = set(range(x.first_word, x.last_word + 1))
+        got[x.doc_id] |= span
+        removed[x.doc_id] |= span if x.removed else set()
+    assert want and all(want[d] <= got[d] and gone[d] <= removed[d] for d in want)
+
+
 def test_lines_collide_and_verify_exactly():
     r = random.Random(1)
     base = prose(r, 60).split()

@@ -5,9 +5,10 @@ bands tuned for a recall at the similarity asked for; lines that collide in a ba
 and linked. Passages inside longer lines, or over several, are caught by sliding paragraphs of ``passage`` words: each is reduced to
 its MinHash over ``run``-word shingles, so every passage of that length that two texts share gives both the same run at the same
 place in it, and equal runs are equal words. Linked lines form components, equal runs classes; only those that two documents
-or more share count. Their first occurrence, by doc_id and place, stays; all others are removals. Near the
-edges of a passage, which run is least also depends on the words around it, so there a class may miss a document that the
-runs in the middle have.
+or more share count. Every paragraph of ``passage`` words that two documents share has a run that they share, so the
+paragraphs around shared runs are compared whole, and a shared passage is covered from its first word to its last. Where all
+neighbourhoods of a run are equal they are one class; else each paragraph is a class of its own. The first occurrence of a
+class, by doc_id and place, stays; all others are removals.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and short texts have no paragraphs. Rows with equal doc_id and text are
 one document here, and all get its spans; rows without a doc_id are told apart by their texts and come last.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, connected_components, materialize, pieces, spread_buckets, texts, white_words
+from .common import arrow_schema, connected_components, discard, materialize, pieces, spread_buckets, texts, white_words
 
 SHINGLE = 5
 BASE = 0x5851F42D4C957F2D
@@ -118,6 +119,25 @@ def passage_runs(seq: Sequence, run: int, passage: int) -> tuple[np.ndarray, np.
     return doc[~again], chosen[~again], hashes[chosen][~again]
 
 
+def passage_groups(seq: Sequence, run: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of neighbouring sliding paragraphs with one MinHash run: document, the run's first word, first word of the first
+    and of the last paragraph, hash of the run."""
+    if seq.n < passage:
+        return (*(np.empty(0, dtype=np.int64) for _ in range(4)), np.empty(0, dtype=np.uint64))
+    hashes = seq.windows(run)
+    least = sliding(hashes, passage - run + 1, np.minimum)
+    bounds, at = np.array(seq.starts), np.arange(len(least))
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    inside = at + passage <= bounds[doc + 1]
+    new = np.ones(len(at) + 1, dtype=bool)
+    new[1:-1] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+    edge = np.flatnonzero(new)
+    low, high = edge[:-1], edge[1:] - 1
+    low, high = low[inside[low]], high[inside[low]]
+    first = low + np.argmin(hashes[low[:, None] + np.arange(passage - run + 1)], axis=1)
+    return doc[low], first, low, high, least[low]
+
+
 def line_paragraphs(seq: Sequence, min_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Document, first and last + 1 word, hash, band keys and sorted shingles (four bytes each) of every long enough line."""
     kept = [x for x in seq.lines if x[2] - x[1] >= max(min_words, SHINGLE)]
@@ -141,8 +161,9 @@ def line_paragraphs(seq: Sequence, min_words: int, bands: int, rows: int) -> tup
 
 
 def paragraph_table(docs: DataFrame, min_words: int, run: int, passage: int, bands: int, rows: int) -> DataFrame:
-    """One row per paragraph, ``row``: hash of doc_id and text, written to the shared folder; runs have no band keys."""
-    spec = "doc_id long, row long, first long, last long, h long, keys array<long>, shingles binary"
+    """One row per line or run, ``row``: hash of doc_id and text, written to the shared folder; runs have no band keys, but the
+    first words ``low`` to ``high`` of the paragraphs they stand for, and the hash ``whole`` of all words of those."""
+    spec = "doc_id long, row long, first long, last long, h long, keys array<long>, shingles binary, low long, high long, whole long"
     schema = arrow_schema(spec)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +173,46 @@ def paragraph_table(docs: DataFrame, min_words: int, run: int, passage: int, ban
                 seq = Sequence(texts(piece, "text"), memo)
                 base = np.array(seq.starts)
                 d, a, b, h, keys, sets = line_paragraphs(seq, min_words, bands, rows)
-                rd, ra, rh = passage_runs(seq, run, passage)
+                rd, ra, low, high, rh = passage_groups(seq, run, passage)
                 doc = np.concatenate((d, rd))
                 first, last = np.concatenate((a, ra)) - base[doc], np.concatenate((b, ra + run)) - base[doc]
                 ids = [piece.column(i).take(pa.array(doc)) for i in range(2)]
                 listed = pa.array([*keys.view(np.int64).tolist(), *([None] * len(rd))], type=pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(first), pa.array(last), pa.array(np.concatenate((h, rh)).view(np.int64)), listed, pa.array([*sets, *([None] * len(rd))], type=pa.binary())], schema=schema)
+                lines = pa.nulls(len(d), pa.int64())
+                groups = [pa.concat_arrays([lines, pa.array(v)]) for v in (low - base[rd], high - base[rd], seq.ranges(low, high + passage).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(first), pa.array(last), pa.array(np.concatenate((h, rh)).view(np.int64)), listed, pa.array([*sets, *([None] * len(rd))], type=pa.binary()), *groups], schema=schema)
 
     return materialize(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(make, spec), "paragraphs")
 
 
+def paragraphs_around(docs: DataFrame, groups: DataFrame, passage: int) -> DataFrame:
+    """``h, doc_id, row, first, last`` of each paragraph of ``passage`` words that begins in one of the groups (``row, low, high``)."""
+    spec = "h long, doc_id long, row long, first long, last long"
+    schema = arrow_schema(spec)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                seq = Sequence(texts(piece, "text"), memo)
+                base = np.array(seq.starts)
+                lists = piece.column(3)
+                wanted = lists.flatten()
+                doc = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
+                change = np.zeros(seq.n + 1, dtype=np.int64)
+                np.add.at(change, wanted.field("low").to_numpy() + base[doc], 1)
+                np.add.at(change, wanted.field("high").to_numpy() + base[doc] + 1, -1)
+                at = np.flatnonzero(np.cumsum(change) > 0)
+                doc = np.searchsorted(base, at, side="right") - 1
+                first = at - base[doc]
+                ids = [piece.column(i).take(pa.array(doc)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(seq.ranges(at, at + passage).view(np.int64)), *ids, pa.array(first), pa.array(first + passage)], schema=schema)
+
+    wanted = groups.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))
+    held = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted, "row")
+    return held.select("doc_id", "row", "text", "wanted").mapInArrow(make, spec)
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -252,8 +303,12 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float
     table = paragraph_table(docs, min_words, run, passage, tune_bands(similarity, recall, rows), rows)
     lines, runs = table.where("keys is not null"), table.where("keys is null")
     ends = [F.min("row").alias("low"), F.max("row").alias("high")]
-    shared = runs.groupBy("h").agg(*ends).where("low <> high").select("h")
-    runs = runs.join(shared, "h").select("h", "doc_id", "row", "first", "last")
+    equal = (F.min("whole") == F.max("whole")).alias("equal")
+    shared = runs.groupBy("h").agg(F.min("row").alias("lowest"), F.max("row").alias("highest"), equal).where("lowest <> highest").select("h", "equal")
+    runs = materialize(runs.join(shared, "h").select("h", "doc_id", "row", "first", "last", "low", "high", "equal"), "runs")
+    groups = runs.where("equal").select("h", "doc_id", "row", F.col("low").alias("first"), (F.col("high") + passage).alias("last"))
+    around = paragraphs_around(docs, runs.where("not equal"), passage)
+    runs = runs.where("not equal").select("h", "doc_id", "row", "first", "last").union(groups)
 
     distinct = materialize(lines.groupBy("h").agg(*ends, F.any_value("keys").alias("keys")), "lines")
     linked = connected_components(similar_links(distinct.select("h", "keys"), lines.select("h", "shingles"), similarity)).withColumnRenamed("node", "h")
@@ -261,9 +316,11 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float
     wide = classes.groupBy("component").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest <> highest").select("component")
     lines = lines.join(classes.select("h", "component").join(wide, "component"), "h").select(F.col("component").alias("h"), "doc_id", "row", "first", "last")
 
-    marked = materialize(runs.withColumn("line", F.lit(False)).union(lines.withColumn("line", F.lit(True))), "marked")
-    firsts = marked.groupBy("h", "line").agg(F.min(_place()).alias("place"))
-    marked = marked.join(firsts, ["h", "line"])
+    kinds = [df.withColumn("kind", F.lit(i)) for i, df in enumerate((runs, lines, around))]
+    marked = materialize(kinds[0].union(kinds[1]).union(kinds[2]), "marked")
+    discard(table)
+    firsts = marked.groupBy("h", "kind").agg(F.min(_place()).alias("place"), *ends).where("low <> high").select("h", "kind", "place")
+    marked = marked.join(firsts, ["h", "kind"])
     return marked.select("doc_id", "row", "first", "last", F.nullif(F.col("place.doc_id"), F.lit(LAST)).alias("component_id"), (_place() != F.col("place")).alias("removed"))
 
 
