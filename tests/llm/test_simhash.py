@@ -103,3 +103,10 @@ def test_one_row_of_each_group_stays(spark):
     assert [r["text"] for r in out if r["doc_id"] == 2] == [docs[2][1]]
     assert [r["doc_id"] for r in out if not r["text"]] == [1]
     assert set(out[0]) == {"doc_id", "text", "lang", "source", "n_chars", "component", "fp"}
+
+
+def test_ids_on_several_texts_keep_only_rows_of_their_components(spark):
+    a, b, c = ("one two three four five six seven", "many other words are in this text here", "and this last one is about something else")
+    rows = [(3, b), (5, a), (5, b), (None, c), (None, b), (7, "x y z w")]
+    got = drop_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(3, b), (5, a), (None, c), (7, "x y z w")], key=repr)

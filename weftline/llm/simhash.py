@@ -129,8 +129,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -
     """docs with one row of each component, one that has its component_id; columns as they were."""
     prints = fingerprints(docs, shingle)
     groups = simhash_groups(prints, distance)
-    stays = prints.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialize(stays.groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__kept"), "stays")
+    stays = prints.join(groups, "fp").groupBy(F.col("doc_id").alias("__kept"))
+    stays = stays.agg(F.count("*").alias("__n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__stays"))
+    stays = materialize(stays.where("__stays").drop("__stays"), "stays")  # __n: all rows of the id, whether they stay or not
     kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["__kept"]))  # one plan at every size
     once = kept.where("__n = 1").select(*docs.columns)
     if not stays.where("__n > 1").head(1):
