@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, documents, with_clash
-from weftline.llm.paragraphs import Sequence, Words, cut_words, jaccard, line_paragraphs, merged, passage_groups, passage_runs, repeated_paragraphs, repeated_spans, similar_forest, similar_links, tune_bands, without_repeats
+from weftline.llm.paragraphs import SHINGLE, Sequence, Words, band_keys, common_passages, cut_words, jaccard, merged, numbered_words, repeated_spans, shingle_codes, sliding_least, tuned_window, without_repeats
+
+WINDOW, LEAST = 24, 30
 
 
 def plain_words(text):
@@ -19,92 +21,135 @@ def prose(r, n):
     return " ".join(r.choice("abcdefghij") + str(r.randrange(4000)) for _ in range(n))
 
 
-def test_bands():
-    assert tune_bands(0.8, 0.99) == 5 and 1 - (1 - 0.64) ** 5 >= 0.99 > 1 - (1 - 0.64) ** 4
+def shingles(words):
+    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30).map(" ".join), min_size=1, max_size=4), st.integers(1, 5), st.integers(0, 6))
-def test_runs_are_the_least_of_each_paragraph(docs, run, more):
-    passage = run + more
+def spans_of(spark, rows, **parameters):
+    """By document: marked and removed words, and component ids."""
+    marked, removed, ids = defaultdict(set), defaultdict(set), defaultdict(set)
+    for x in repeated_spans(documents(spark, rows), **parameters).collect():
+        span = set(range(x.first_word, x.last_word + 1))
+        assert x.n_words == len(span) and not span & marked[x.doc_id]  # disjoint
+        marked[x.doc_id] |= span
+        ids[x.doc_id].add(x.component_id)
+        removed[x.doc_id] |= span if x.removed else set()
+    return marked, removed, ids
+
+
+def test_window_is_what_similar_passages_share():
+    assert tuned_window(0.8) == WINDOW
+    r = random.Random(1)
+    for n in [*range(30, 130), 200, 300]:
+        base = prose(r, n).split()
+        for _ in range(20):
+            near = list(base)
+            for at in r.sample(range(n), r.randrange(1, 7)):
+                near[at] = "changed"
+            if similarity(base, near) >= 0.8:
+                same = "".join("01"[a == b] for a, b in zip(base, near))
+                assert max(map(len, same.split("0"))) >= min(n, WINDOW)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=40).map(" ".join), min_size=1, max_size=4), st.integers(5, 9))
+def test_equal_paragraphs_have_equal_keys(docs, window):
     seq = Sequence([d.encode() for d in docs], Words())
-    doc, first, hashes = passage_runs(seq, run, passage)
-    values = seq.windows(run)
-    want = set()
+    doc, key, at, again = (x.tolist() for x in band_keys(seq, window))
+    keys, values = defaultdict(set), seq.windows(SHINGLE)
+    for d, k, a, g in zip(doc, key, at, again):
+        assert g == (k in keys[d])
+        keys[d].add(k)
+    width = window - SHINGLE + 1
+    assert sliding_least(values, width).tolist() == [min(values[i : i + width]) for i in range(max(0, len(values) - width + 1))]
+    by_words = defaultdict(set)
     for d in range(len(docs)):
-        a, b = seq.starts[d], seq.starts[d + 1]
-        for i in range(a, b - passage + 1):
-            window = values[i : i + more + 1]
-            want |= {(d, int(v)) for v in [window.min()]}
-    assert {(int(d), int(h)) for d, h in zip(doc, hashes)} == want
-    words = [w for d in docs for w in d.split()]
-    by_hash = defaultdict(set)
-    for i, h in enumerate(values.tolist()):
-        by_hash[h].add(tuple(words[i : i + run]))
-    assert all(len(v) == 1 for v in by_hash.values())
-    assert all(h == values[i] for i, h in zip(first, hashes))
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30).map(" ".join), min_size=1, max_size=4), st.integers(1, 5), st.integers(0, 6))
-def test_groups_hold_each_paragraph_once(docs, run, more):
-    passage = run + more
-    seq = Sequence([d.encode() for d in docs], Words())
-    values, found = seq.windows(run), []
-    for d, first, low, high, h in zip(*(x.tolist() for x in passage_groups(seq, run, passage))):
-        assert values[first] == h and low <= first <= low + more
-        assert all(values[i : i + more + 1].min() == h for i in range(low, high + 1))
-        found += [(d, i) for i in range(low, high + 1)]
-    assert found == [(d, i) for d in range(len(docs)) for i in range(seq.starts[d], seq.starts[d + 1] - passage + 1)]
+        words = docs[d].split()
+        held = band_keys(Sequence([docs[d].encode()], Words()), window)
+        assert set(held[1].tolist()) == keys[d]  # neighbours in a batch do not matter
+        for i in range(len(words) - window + 1):
+            mine = band_keys(Sequence([" ".join(words[i : i + window]).encode()], Words()), window)[1].tolist()
+            assert len(mine) == 1 and mine[0] in keys[d]
+            by_words[tuple(words[i : i + window])].add(mine[0])
+    assert all(len(v) == 1 for v in by_words.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(0, 1))
+def test_jaccard_is_exact(x, y, big):
+    x, y = [v + big * 10**15 for v in x], [v + big * 10**15 for v in y]
+    u, v = shingle_codes(np.array(x, dtype=np.int64) % 10**6, np.array(y, dtype=np.int64) % 10**6)
+    assert jaccard(u, v) == pytest.approx(similarity([a % 10**6 for a in x], [a % 10**6 for a in y]))
 
 
-def test_whole_shared_passages_are_marked(spark):
+def test_passages_grow_over_changed_words():
+    r = random.Random(2)
+    for edits, n in ((1, 60), (2, 100), (3, 150), (4, 220)):
+        for _ in range(30):
+            base = prose(r, n).split()
+            near = list(base)
+            for at in r.sample(range(8, n - 8), edits):
+                near[at : at + 1] = r.choice([["changed"], ["two", "words"], []])
+            if similarity(base, near) < 0.83:
+                continue
+            a, b = prose(r, 33).split() + base + prose(r, 21).split(), prose(r, 7).split() + near + prose(r, 40).split()
+            x, y = numbered_words(" ".join(a).encode(), " ".join(b).encode())
+            lines = [(i, i, j - i) for i in range(len(a) - 24) for j in range(len(b) - 24) if a[i : i + 24] == b[j : j + 24]]
+            assert lines
+            found = common_passages(x, y, lines, 0.8, 30, 12)
+            assert found == [(33, 33 + len(base), 7, 7 + len(near))]
+
+
+def test_what_equals_is_found_whole(spark):
+    """Every 30 words that two documents share are marked, and removed in all but the first."""
     r = random.Random(6)
     rows = []
-    for i, n in enumerate([51, 51, 60, 60, 120, 120, 200] * 2):
+    for i, n in enumerate([30, 31, 40, 51, 60, 120, 200] * 3):
         p = prose(r, n)
-        rows += [(100 * i + j, prose(r, r.randrange(5, 90)) + " " + p + " " + prose(r, r.randrange(5, 90))) for j in range(3)]
+        rows += [(100 * i + j, prose(r, r.randrange(0, 90)) + " " + p + "\n" + prose(r, r.randrange(0, 90))) for j in range(4)]
         cut = p.split()[: n // 2 + 15]  # a shorter, earlier part of it, so that neighbourhoods differ
         rows.append((100 * i - 1, prose(r, 40) + " " + " ".join(cut) + " " + prose(r, 40)))
+    variants = prose(r, 70).split()  # pivots that share a key but no passage with those that follow
+    rows += [(9000 + i, prose(r, 30) + " " + " ".join(variants[: 26 + i % 5]) + " " + prose(r, 30)) for i in range(20)]
+    marked, removed, _ = spans_of(spark, rows)
     words = {d: plain_words(t) for d, t in rows}
     places = defaultdict(list)
     for d in sorted(words):
-        for k in range(len(words[d]) - 50):
-            places[tuple(words[d][k : k + 51])].append((d, k))
+        for k in range(len(words[d]) - LEAST + 1):
+            places[tuple(words[d][k : k + LEAST])].append((d, k))
     want, gone = defaultdict(set), defaultdict(set)
     for held in places.values():
         if len({d for d, _ in held}) > 1:
             for d, k in held:
-                want[d] |= set(range(k, k + 51))
-                gone[d] |= set(range(k, k + 51)) if (d, k) != held[0] else set()
-    got, removed = defaultdict(set), defaultdict(set)
-    for x in repeated_spans(documents(spark, rows)).collect():
-        span = set(range(x.first_word, x.last_word + 1))
-        got[x.doc_id] |= span
-        removed[x.doc_id] |= span if x.removed else set()
-    assert want and all(want[d] <= got[d] and gone[d] <= removed[d] for d in want)
-
-
-def test_lines_collide_and_verify_exactly():
-    r = random.Random(1)
-    base = prose(r, 60).split()
-    near = base[:30] + ["changed"] + base[31:]
-    seq = Sequence([" ".join(base).encode(), b"short line\n" + " ".join(near).encode()], Words())
-    doc, first, last, h, keys, sets = line_paragraphs(seq, 20, 5, 2)
-    assert doc.tolist() == [0, 1] and (last - first).tolist() == [60, 60] and h[0] != h[1]
-    shingles = [{tuple(w[i : i + 5]) for i in range(56)} for w in (base, near)]
-    assert jaccard(*sets) == len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-
-
-def test_recall_of_the_bands():
-    r = random.Random(2)
-    hits = 0
-    for _ in range(300):
-        base = prose(r, 60).split()
-        near = base[:28] + ["changed"] + base[29:]  # similarity 51 / 61
-        keys = line_paragraphs(Sequence([" ".join(base).encode(), " ".join(near).encode()], Words()), 20, 5, 2)[4]
-        hits += bool((keys[0] == keys[1]).any())
-    assert hits >= 0.97 * 300
+                want[d] |= set(range(k, k + LEAST))
+                gone[d] |= set(range(k, k + LEAST)) if d != held[0][0] else set()
+    assert want and dict(marked) == dict(want)
+    assert {d: x for d, x in removed.items() if x} == {d: x for d, x in gone.items() if x}
+
+
+@pytest.mark.parametrize("n,edits", [(60, 1), (100, 2), (150, 3)])
+def test_recall_of_similar_passages_in_longer_lines(spark, n, edits):
+    r = random.Random(n)
+    rows, spots = [], {}
+    for i in range(150):
+        base = prose(r, n).split()
+        near = list(base)
+        for at in r.sample(range(n), edits):
+            near[at] = "changed"
+        if similarity(base, near) < 0.8:
+            continue
+        for j, p in enumerate((base, near)):
+            a = r.randrange(0, 60)
+            rows.append((2 * i + j, " ".join([prose(r, a), *p, prose(r, r.randrange(0, 60))]).strip()))
+            spots[2 * i + j] = set(range(a, a + n))
+    marked, removed, _ = spans_of(spark, rows)
+    share = [len(marked[d] & s) / n for d, s in spots.items()]
+    assert min(share) > 0.5 and np.mean(share) >= 0.97 and sum(bool(removed[d]) for d in spots) == len(spots) / 2
 
 
 def corpus():
@@ -115,8 +160,7 @@ def corpus():
         text = "\n".join(prose(r, r.choice([8, 30, 70])) for _ in range(4))
         if i % 2:
             p = r.randrange(5)
-            at = r.randrange(len(text) // 2)
-            at = text.index(" ", at)
+            at = text.index(" ", r.randrange(len(text) // 2))
             text = text[:at] + " " + (passages[p].upper() if i % 3 else passages[p].replace(" ", "\n", 3)) + " " + text[at:]
             planted[p].add(1000 + i)
         rows.append((1000 + i, text))
@@ -128,55 +172,34 @@ def corpus():
 
 def test_passages_lines_and_clean_documents(spark):
     rows, planted = corpus()
-    out = [x.asDict() for x in repeated_spans(with_clash(documents(spark, rows + ODD), "first", "h", "row")).collect()]
     marked = defaultdict(list)
-    for x in out:
-        marked[x["doc_id"]].append(x)
+    for x in repeated_spans(with_clash(documents(spark, rows + ODD), "first", "key", "row", "__packed", "__salt", "window")).collect():
+        marked[x.doc_id].append(x)
     flagged = {d for ids in planted.values() for d in ids} | {2000, 2001, 2002, 2003}
     assert set(marked) == flagged
-    words = {d: plain_words(t) for d, t in rows}
-    for p, ids in planted.items():
+    for ids in planted.values():
         for d in ids:
-            assert min(x["component_id"] for x in marked[d]) == min(ids)
-            assert any(x["removed"] for x in marked[d]) == (d != min(ids))
-            assert all(x["component_id"] <= d and x["removed"] == (x["component_id"] < d) for x in marked[d])
-            for x in marked[d]:
-                span = words[d][x["first_word"] : x["last_word"] + 1]
-                parts = [" ".join(span[i : i + 25]) for i in range(len(span) - 24)]
-                assert any(part in " ".join(words[o]) for part in parts for o in ids if o != d)
-    assert {x["component_id"] for i in range(4) for x in marked[2000 + i]} == {2000}
-    text = {x.doc_id: x.text for x in without_repeats(documents(spark, rows)).collect()}
+            assert [(x.component_id, x.removed) for x in marked[d]] == [(min(ids), d != min(ids))]
+    assert {x.component_id for i in range(4) for x in marked[2000 + i]} == {2000}
+    text = {x.doc_id: x.text for x in without_repeats(with_clash(documents(spark, rows), "__packed", "__cut", "row", "a.b")).collect()}
     for d, t in rows:
         assert (text[d] == t) == (d not in flagged or d in {min(i) for i in planted.values()} | {2000})
 
 
-@pytest.mark.parametrize("few,chunk", [(2, 4), (100, 100), (4, 300)])
-def test_links_as_brute_force(spark, few, chunk):
-    r = random.Random(4)
-    texts, base = [], prose(r, 80).split()
-    for i in range(40):
-        w = list(base) if i % 2 else prose(r, 80).split()
-        w[r.randrange(80)] = f"x{i}"
-        w[min(79, i % 30)] = "y"
-        texts.append(" ".join(w))
-    seq = Sequence([t.encode() for t in texts], Words())
-    _, _, _, h, keys, sets = line_paragraphs(seq, 20, 40, 2)
-    frame = spark.createDataFrame([(int(a), [int(k) for k in b], c) for a, b, c in zip(h.view(np.int64), keys.view(np.int64), sets)], "h long, keys array<long>, shingles binary")
-    from weftline.llm.common import connected_components
-
-    got = {x.node: x.component for x in connected_components(similar_links(frame.drop("shingles"), frame.drop("keys"), 0.8, few, chunk)).collect()}
-    ids, at = [int(x) for x in h.view(np.int64)], {int(x): int(x) for x in h.view(np.int64)}
-    for i, a in enumerate(ids):
-        for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
-                old, new = max(at[a], at[ids[j]]), min(at[a], at[ids[j]])
-                at = {k: new if v == old else v for k, v in at.items()}
-    assert len(similar_forest(ids, sets, 0.8)) == len(ids) - len(set(at.values()))
-    assert {a: got.get(a, a) for a in ids} == at and len(set(at.values())) < len(ids)
+def test_hot_passages_copies_and_long_texts(spark):
+    r = random.Random(8)
+    shared, long = prose(r, 45), prose(r, 30_000)
+    rows = [(i, f"{prose(r, 5)} {shared} {prose(r, 5)}") for i in range(600)] + [(1000 + i, prose(r, 50) if i % 3 else shared) for i in range(60)] + [(5000, long), (5001, prose(r, 40) + " " + long), (6000, "same words again " * 9000), (6001, "same words again " * 8000)]
+    marked, removed, ids = spans_of(spark, rows)
+    # a word beside the passage may be the same in two of them
+    assert all(set(range(5, 50)) <= marked[i] and len(marked[i]) <= 47 and ids[i] == {0} and bool(removed[i]) == (i > 0) for i in range(600))
+    assert all(len(marked[1000 + i]) == (0 if i % 3 else 45) for i in range(60))
+    assert len(removed[5001]) == 30_000 and not removed[5000] and len(marked[5000]) == 30_000
+    assert len(removed[6001]) == 24_000
 
 
 def test_merging_and_cutting():
-    assert merged([(5, 9, 1, True), (0, 5, 1, True), (8, 12, 1, False), (20, 22, None, True)]) == [(0, 9, 1, True), (8, 12, 1, False), (20, 22, None, True)]
+    assert merged([(5, 9, True), (0, 5, True), (8, 12, False), (20, 22, False)]) == [(0, [(0, 5, True)]), (5, [(5, 9, True), (9, 12, False)]), (20, [(20, 22, False)])]
     assert cut_words(" a b\nc  d ", [(1, 2)]) == " a  d " and cut_words("a b", [(0, 1)]) == ""
 
 
@@ -185,6 +208,7 @@ def test_odd_tables(spark):
     r = random.Random(5)
     t = prose(r, 90)
     same = documents(spark, [(1, t), (1, t), (None, t), (None, t + " more")])
-    out = repeated_paragraphs(same).select("doc_id", "component_id", "removed").distinct().collect()
+    out = repeated_spans(same).select("doc_id", "component_id", "removed").distinct().collect()
     assert {tuple(x) for x in out} == {(1, 1, False), (None, 1, True)}
     assert without_repeats(documents(spark, ODD)).count() == len(ODD)
+    assert sorted((x.doc_id or 0, x.text) for x in without_repeats(same).collect()) == [(0, ""), (0, " more"), (1, t), (1, t)]

@@ -147,6 +147,45 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
+def hot_keys(counts: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``on, __salts``: keys with so many rows that one task should not take them all, from a table of keys and their counts.
+
+    A key is hot if it has more than an eighth of what a shuffle partition holds on average, so there are at most eight
+    hot keys for each partition: that bounds the table, whatever the rows.
+    """
+    spark = counts.sparkSession
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    share = max(256, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return counts.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("int").alias("__salts"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt_by: Column, how: str = "inner") -> DataFrame:
+    """left join right on keys of which left may hold any number of rows: rows of hot_keys() are dealt to as many tasks as their
+    number asks for, and right's row of such a key is repeated for each. The table of hot keys is small by its making."""
+    hot = F.broadcast(hot)
+    dealt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("__salts"))).cast("int")
+    salted = left.join(hot, on, "left").withColumn("__salt", dealt).drop("__salts")
+    spread = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+# ---------------------------------------------------------------- rows with columns of any names
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column ``__packed``, and further ones that no column of docs can clash with."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("__packed"), *more)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of docs out of ``__packed``, some replaced."""
+    return df.select(*(replaced.get(c, F.col("__packed").getField(c)).alias(c) for c in docs.columns))
+
+
 # ---------------------------------------------------------------- connected components
 
 

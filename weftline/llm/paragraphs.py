@@ -1,44 +1,52 @@
-"""Substring dedup by MinHash over paragraphs.
-
-Two kinds of paragraphs are looked at. Lines of at least ``min_words`` words get MinHash signatures over five-word shingles, in
-bands tuned for a recall at the similarity asked for; lines that collide in a band are verified by exact Jaccard similarity
-and linked. Passages inside longer lines, or over several, are caught by sliding paragraphs of ``passage`` words: each is reduced to
-its MinHash over ``run``-word shingles, so every passage of that length that two texts share gives both the same run at the same
-place in it, and equal runs are equal words. Linked lines form components, equal runs classes; only those that two documents
-or more share count. Every paragraph of ``passage`` words that two documents share has a run that they share, so the
-paragraphs around shared runs are compared whole, and a shared passage is covered from its first word to its last. Where all
-neighbourhoods of a run are equal they are one class; else each paragraph is a class of its own. The first occurrence of a
-class, by doc_id and place, stays; all others are removals.
+"""Substring dedup by MinHash over sliding paragraphs.
+
+Every ``window`` words of a text are a paragraph. Its MinHash over five-word shingles, two rows, is its band key; neighbours with
+one key are kept as one. The window is tuned so that the band misses nothing it should find: two passages of at least the
+similarity asked for that differ by changed words have as many words in one piece in common (see tuned_window()), and equal
+paragraphs collide with certainty. Of the texts that collide in a key the first, by doc_id, is the pivot, and every other is
+compared with it: from the places where they collide on, equal words are followed to both sides to the end of the common
+piece, and pieces are joined over differing words as long as the two passages have the exact Jaccard similarity asked for over
+their sets of shingles. Words themselves are compared, not their hashes. Paragraphs that a key stands for and that are in no passage shared with
+its pivot are looked up once more by all their words, so what equals some other text is found whoever the pivot was.
+
+Passages of ``least`` words or more that two documents share are reported. Of two linked ones the later document's is removed, so
+that the first occurrence stays. Overlapping passages of a document are one node, links between nodes make components.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and short texts have no paragraphs. Rows with equal doc_id and text are
-one document here, and all get its spans; rows without a doc_id are told apart by their texts and come last.
+one document here, and all get its spans; rows without a doc_id are told apart by their texts and come last. Repeats within one
+document only are no matter. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, connected_components, discard, materialize, pieces, spread_buckets, texts, white_words
+from .common import arrow_schema, connected_components, discard, hot_keys, join_hot, materialize, packed, pieces, texts, unpacked, white_words
 
 SHINGLE = 5
 BASE = 0x5851F42D4C957F2D
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
+#: Segments begin and end at multiples of so many words, and reach so far beyond the places where texts collide.
+CELL = 64
+
 
+def tuned_window(similarity: float, shingle: int = SHINGLE) -> int:
+    """The most words that passages of such a similarity, if they differ by changed words, surely have in common in one piece.
 
-def tune_bands(similarity: float, recall: float, rows: int = 2) -> int:
-    """The fewest bands of so many rows by which pairs of just that similarity collide with at least that probability."""
-    bands = 1
-    while 1 - (1 - similarity**rows) ** bands < recall:
-        bands += 1
-    return bands
+    A changed word takes ``shingle`` shingles from either side, so with m of them there are at least m * shingle * (1 + s) / (1 - s)
+    shingles; the other words make m + 1 pieces, and the longest is no shorter than their mean.
+    """
+    n = shingle * (1 + similarity) / (1 - similarity)
+    return min(int((m * n + shingle - 1 - m) / (m + 1) + 1e-9) for m in range(1, 100))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,14 +70,9 @@ class Sequence:
 
     def __init__(self, docs: list[bytes], memo: Words):
         hashes: list[int] = []
-        self.lines: list[tuple[int, int, int]] = []  # document, first word, last word + 1
         self.starts = [0]
-        for d, text in enumerate(docs):
-            for line in text.lower().split(b"\n"):
-                words = white_words(line)
-                if words:
-                    self.lines.append((d, len(hashes), len(hashes) + len(words)))
-                    hashes += map(memo.__getitem__, words)
+        for text in docs:
+            hashes += map(memo.__getitem__, white_words(text.lower()))
             self.starts.append(len(hashes))
         self.n = len(hashes)
         self.words = np.array(hashes, dtype=np.uint64)
@@ -79,115 +82,52 @@ class Sequence:
         power, self.inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
         self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(self.words * power[: self.n], dtype=np.uint64)))
 
-    def ranges(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the words from first to before last."""
-        return mixed((self.sums[last] - self.sums[first]) * self.inverse[first] + (last - first).astype(np.uint64))
-
     def windows(self, k: int) -> np.ndarray:
         """Hashes of all k words from each place on, also across documents; none if there are fewer."""
         at = np.arange(max(0, self.n - k + 1))
-        return self.ranges(at, at + k)
+        return mixed((self.sums[at + k] - self.sums[at]) * self.inverse[at] + np.uint64(k))
 
 
-def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (np.minimum or np.maximum) over each ``width`` neighbours."""
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
     held, size = values, 1
     while size * 2 <= width:
-        held, size = pick(held[: len(held) - size], held[size:]), size * 2
+        held, size = np.minimum(held[: len(held) - size], held[size:]), size * 2
     rest = width - size
-    return pick(held[: len(held) - rest], held[rest:]) if rest else held
-
-
-def passage_runs(seq: Sequence, run: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and hash of the MinHash run of every sliding paragraph of ``passage`` words, each run once."""
-    width = passage - run + 1
-    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    if seq.n < passage:
-        return none
-    hashes = seq.windows(run)
-    least = sliding(hashes, width, np.minimum)
-    bounds = np.array(seq.starts)
-    at = np.arange(len(least))
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    least = np.where(at + passage <= bounds[doc + 1], least, np.uint64(0))  # 0: the paragraph leaves its document
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    most = sliding(np.concatenate((edge, least, edge)), width, np.maximum)
-    chosen = np.flatnonzero((most == hashes) & (hashes > 0))
-    doc = np.searchsorted(bounds, chosen, side="right") - 1
-    again = np.zeros(len(chosen), dtype=bool)
-    again[1:] = (hashes[chosen][1:] == hashes[chosen][:-1]) & (doc[1:] == doc[:-1])
-    return doc[~again], chosen[~again], hashes[chosen][~again]
-
-
-def passage_groups(seq: Sequence, run: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of neighbouring sliding paragraphs with one MinHash run: document, the run's first word, first word of the first
-    and of the last paragraph, hash of the run."""
-    if seq.n < passage:
-        return (*(np.empty(0, dtype=np.int64) for _ in range(4)), np.empty(0, dtype=np.uint64))
-    hashes = seq.windows(run)
-    least = sliding(hashes, passage - run + 1, np.minimum)
-    bounds, at = np.array(seq.starts), np.arange(len(least))
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    inside = at + passage <= bounds[doc + 1]
-    new = np.ones(len(at) + 1, dtype=bool)
-    new[1:-1] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
-    edge = np.flatnonzero(new)
-    low, high = edge[:-1], edge[1:] - 1
-    low, high = low[inside[low]], high[inside[low]]
-    first = low + np.argmin(hashes[low[:, None] + np.arange(passage - run + 1)], axis=1)
-    return doc[low], first, low, high, least[low]
-
-
-def line_paragraphs(seq: Sequence, min_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Document, first and last + 1 word, hash, band keys and sorted shingles (four bytes each) of every long enough line."""
-    kept = [x for x in seq.lines if x[2] - x[1] >= max(min_words, SHINGLE)]
-    doc, first, last = (np.array([x[i] for x in kept], dtype=np.int64) for i in range(3))
-    if not kept:
-        return doc, first, last, np.empty(0, dtype=np.uint64), np.empty((0, bands), dtype=np.uint64), []
-    shingles = seq.windows(SHINGLE)
-    ends = last - SHINGLE + 1
-    padded = np.concatenate((shingles, np.zeros(1, dtype=np.uint64)))
-    index = np.column_stack((first, ends)).ravel()
-    keys = np.empty((len(kept), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(kept), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            salt = np.uint64(2 * (b * rows + r) + 3)
-            key = mixed(key ^ np.minimum.reduceat(mixed(padded * salt), index)[::2])
-        keys[:, b] = key
-    short = (shingles >> np.uint64(32)).astype(np.uint32)
-    sets = [np.unique(short[a:b]).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-    return doc, first, last, seq.ranges(first, last), keys, sets
-
-
-def paragraph_table(docs: DataFrame, min_words: int, run: int, passage: int, bands: int, rows: int) -> DataFrame:
-    """One row per line or run, ``row``: hash of doc_id and text, written to the shared folder; runs have no band keys, but the
-    first words ``low`` to ``high`` of the paragraphs they stand for, and the hash ``whole`` of all words of those."""
-    spec = "doc_id long, row long, first long, last long, h long, keys array<long>, shingles binary, low long, high long, whole long"
-    schema = arrow_schema(spec)
+    return np.minimum(held[: len(held) - rest], held[rest:]) if rest else held
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
-        for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
-                seq = Sequence(texts(piece, "text"), memo)
-                base = np.array(seq.starts)
-                d, a, b, h, keys, sets = line_paragraphs(seq, min_words, bands, rows)
-                rd, ra, low, high, rh = passage_groups(seq, run, passage)
-                doc = np.concatenate((d, rd))
-                first, last = np.concatenate((a, ra)) - base[doc], np.concatenate((b, ra + run)) - base[doc]
-                ids = [piece.column(i).take(pa.array(doc)) for i in range(2)]
-                listed = pa.array([*keys.view(np.int64).tolist(), *([None] * len(rd))], type=pa.list_(pa.int64()))
-                lines = pa.nulls(len(d), pa.int64())
-                groups = [pa.concat_arrays([lines, pa.array(v)]) for v in (low - base[rd], high - base[rd], seq.ranges(low, high + passage).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(first), pa.array(last), pa.array(np.concatenate((h, rh)).view(np.int64)), listed, pa.array([*sets, *([None] * len(rd))], type=pa.binary()), *groups], schema=schema)
-
-    return materialize(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(make, spec), "paragraphs")
 
-
-def paragraphs_around(docs: DataFrame, groups: DataFrame, passage: int) -> DataFrame:
-    """``h, doc_id, row, first, last`` of each paragraph of ``passage`` words that begins in one of the groups (``row, low, high``)."""
-    spec = "h long, doc_id long, row long, first long, last long"
+def band_keys(seq: Sequence, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of neighbouring paragraphs with one band key, the least shingle of the first row at one place: document, key,
+    that place, and whether the document had the key before."""
+    empty = np.empty(0, dtype=np.int64)
+    if seq.n < window:
+        return empty, empty.view(np.uint64), empty, empty.astype(bool)
+    width = window - SHINGLE + 1
+    shingles = seq.windows(SHINGLE)
+    key = mixed(sliding_least(shingles, width) ^ mixed(sliding_least(mixed(shingles * np.uint64(3)), width)))
+    bounds, at = np.array(seq.starts), np.arange(len(key))
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    inside = at + window <= bounds[doc + 1]
+    first = at + np.argmin(np.lib.stride_tricks.sliding_window_view(shingles, width), axis=1)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1]) | (first[1:] != first[:-1])
+    low = np.flatnonzero(new & inside)
+    first, doc, key = first[low], doc[low], key[low]
+    order = np.lexsort((low, key, doc))
+    again = np.zeros(len(low), dtype=bool)
+    again[order[1:]] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    return doc, key, first - bounds[doc], again
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, text``; row is a hash of doc_id and text."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
+def key_table(docs: DataFrame, window: int) -> DataFrame:
+    """``key, doc_id, row, at, again`` of all documents, written to the shared folder."""
+    spec = "key long, doc_id long, row long, at int, again boolean"
     schema = arrow_schema(spec)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,181 +135,347 @@ def paragraphs_around(docs: DataFrame, groups: DataFrame, passage: int) -> DataF
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
                 seq = Sequence(texts(piece, "text"), memo)
-                base = np.array(seq.starts)
-                lists = piece.column(3)
-                wanted = lists.flatten()
-                doc = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
-                change = np.zeros(seq.n + 1, dtype=np.int64)
-                np.add.at(change, wanted.field("low").to_numpy() + base[doc], 1)
-                np.add.at(change, wanted.field("high").to_numpy() + base[doc] + 1, -1)
-                at = np.flatnonzero(np.cumsum(change) > 0)
-                doc = np.searchsorted(base, at, side="right") - 1
-                first = at - base[doc]
+                doc, key, at, again = band_keys(seq, window)
                 ids = [piece.column(i).take(pa.array(doc)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(seq.ranges(at, at + passage).view(np.int64)), *ids, pa.array(first), pa.array(first + passage)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *ids, pa.array(at.astype(np.int32)), pa.array(again)], schema=schema)
 
-    wanted = groups.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))
-    held = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted, "row")
-    return held.select("doc_id", "row", "text", "wanted").mapInArrow(make, spec)
+    return materialize(identified(docs).mapInArrow(make, spec), "keys")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+# ---------------------------------------------------------------- colliding texts
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    """jaccard() of at least so much; sets of too different sizes need no look."""
-    small, large = sorted((len(a), len(b)))
-    return small >= similarity * large and jaccard(a, b) >= similarity
-
-
-def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many elements each two sets share, by products of their incidence matrix, ``width`` shared elements at a time."""
-    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    rows, column = rows[shared[column]], number[column[shared[column]]]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for low in range(0, int(shared.sum()), width):
-        here = (column >= low) & (column < low + width)
-        part = np.zeros((len(sets), width), dtype=np.float32)
-        part[rows[here], column[here] - low] = 1
-        out += part @ part.T
+def collisions(keys: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, row, at, pivot``: the places of keys that several documents have, each beside the key's first place; written out.
+
+    Keys are counted first, as a narrow table, and places of one document's own keys go no further. ``more``: columns that go along.
+    """
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row", "at", *more)
+    shared = materialize(keys.groupBy("key").agg(F.count_if(~F.col("again")).alias("n")).where("n > 1"), "shared")
+    hot = hot_keys(shared, ["key"], "n")
+    held = materialize(join_hot(keys.select("key", "doc_id", "row", "at", *more), shared.select("key"), ["key"], hot, F.col("row")), "held")
+    pivots = held.groupBy("key").agg(F.min(place).alias("pivot"))
+    out = materialize(join_hot(held, pivots, ["key"], hot, F.col("row")).where("row <> pivot.row").select("doc_id", "row", "at", "pivot", *more), "collisions")
+    discard(shared)
+    discard(held)
     return out
 
 
-def similar_forest(ids: list[int], sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect just what chains of similar pairs connect, fewer than there are ids."""
-    held = [np.frombuffer(x, dtype=np.uint32) for x in sets]
-    if len(held) < 2:
-        return []
-    both, size = common_counts(held), np.array([len(x) for x in held])
-    near = both.astype(np.float64) / (size[:, None] + size[None, :] - both) >= similarity
-    left, links = np.ones(len(ids), dtype=bool), []
-    for root in range(len(ids)):
-        reached = [root] if left[root] else []
-        left[root] = False
-        while reached:
-            at = reached.pop()
-            found = np.flatnonzero(left & near[at])
-            left[found] = False
-            links += [(ids[at], ids[i]) for i in found]
-            reached += found.tolist()
-    return links
-
-
-def similar_links(lines: DataFrame, sets: DataFrame, similarity: float, few: int = 32, chunk: int = 256) -> DataFrame:
-    """``a, b``: links between hashes of distinct lines (``h, keys``) that connect what similar pairs connect.
-
-    sets: ``h, shingles`` of at least all lines, repeats allowed; those of colliding lines are fetched once. Buckets of a
-    few lines are joined with themselves; larger ones give the links of a spanning forest of each group of at most about
-    2 * chunk lines.
-    """
-    small, large = spread_buckets(lines.select("h", F.explode("keys").alias("key")), "key", few, chunk, F.xxhash64("h"))
-    other = small.select("key", F.col("h").alias("g"))
-    pairs = materialize(small.join(other, "key").where("h < g").select("h", "g").distinct(), "pairs")
-    wanted = pairs.select("h").union(pairs.select("g")).union(large.select("h")).distinct()
-    sets = materialize(sets.join(wanted, "h").groupBy("h").agg(F.any_value("shingles").alias("shingles")), "sets")
-    pairs = pairs.join(sets, "h").join(sets.select(F.col("h").alias("g"), F.col("shingles").alias("others")), "g")
-    schema = arrow_schema("a long, b long")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            held = [i for i in range(len(a)) if alike(x[i], y[i], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in held], type=pa.int64()) for v in (a, b)], schema=schema)
+def _cells(low: Column, high: Column) -> list[Column]:
+    low, high = F.floor((low - CELL) / CELL) * CELL, F.ceil((high + SHINGLE + CELL) / CELL) * CELL
+    return [F.greatest(low, F.lit(0)).cast("int"), high.cast("int")]
 
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("h")
-        return pd.DataFrame(similar_forest(group["h"].tolist(), group["shingles"].tolist(), similarity), columns=["a", "b"], dtype="int64")
 
-    forests = large.join(sets, "h").groupBy("key", "__c", "__d").applyInPandas(forest, "a long, b long")
-    return pairs.select("h", "g", "shingles", "others").mapInArrow(verify, "a long, b long").union(forests)
+def text_pairs(places: DataFrame, *more: str) -> DataFrame:
+    """One row for each document and pivot that collide: ``doc_id, row, low, high, p_doc, p_row, p_low, p_high, lines``.
 
+    lines: where they collide, as (first and last place, shift from the document to the pivot); low to high: the words to look at.
+    ``more``: low and high if places have them, as do their pivots.
+    """
+    shift = (F.col("pivot.at") - F.col("at")).alias("shift")
+    known = [*more, *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in more)]
+    on = ["doc_id", "row", "p_doc", "p_row", *more, *(f"p_{c}" for c in more)]
+    lines = places.groupBy("doc_id", "row", F.col("pivot.doc").alias("p_doc"), F.col("pivot.row").alias("p_row"), *known, shift)
+    lines = lines.agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    moved = F.col("first") + F.col("shift"), F.col("last") + F.col("shift")
+    out = lines.groupBy(*on).agg(
+        F.min("first").alias("a"), F.max("last").alias("b"), F.min(moved[0]).alias("c"), F.max(moved[1]).alias("d"), F.sort_array(F.collect_list(F.struct("first", "last", "shift"))).alias("lines")
+    )
+    if not more:
+        for name, column in zip(("low", "high", "p_low", "p_high"), (*_cells(F.col("a"), F.col("b")), *_cells(F.col("c"), F.col("d"))), strict=True):
+            out = out.withColumn(name, column)
+    return materialize(out.select("doc_id", "row", "low", "high", "p_doc", "p_row", "p_low", "p_high", "lines"), "pairs")
+
+
+def segments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``row, low, high, words``: the words of all segments that pairs name, each once; written out. One pass over the texts."""
+    spec = "row long, low int, high int, words binary"
+    schema = arrow_schema(spec)
 
-def _place() -> Column:
-    return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", "first")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                for row, text, ranges in zip(piece.column(0).to_pylist(), texts(piece, "text"), piece.column(2).to_pylist(), strict=True):
+                    if row == before:  # repeated rows follow each other after the merge join
+                        continue
+                    before = row
+                    words = white_words(text.lower())
+                    out = [(row, r["low"], r["high"], b" ".join(words[r["low"] : r["high"]])) for r in ranges]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
+
+    both = pairs.select("row", "low", "high").union(pairs.select(F.col("p_row").alias("row"), F.col("p_low").alias("low"), F.col("p_high").alias("high")))
+    wanted = both.distinct().groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    held = identified(docs)
+    held = held.select("row", "text").hint("merge").join(wanted, "row").select("row", "text", "ranges")  # one plan at every size
+    return materialize(held.mapInArrow(cut, spec), "segments")
+
+
+# ---------------------------------------------------------------- verification
+
+
+def shingle_codes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each shingle of two sequences of word numbers, the same for the same words."""
+    both = np.concatenate((x, [-1] * SHINGLE, y)).astype(np.int64) + 1
+    top = int(both.max()) + 1
+    code = both
+    for j in range(1, SHINGLE):
+        if int(code.max()) >= (1 << 62) // top:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+        code = code[:-1] * top + both[j:]
+    return code[: max(0, len(x) - SHINGLE + 1)], code[len(x) + SHINGLE :]
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of the sets of two arrays."""
+    x, y = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
-def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, min_words: int = 20, run: int = 25, passage: int = 51) -> DataFrame:
-    """Paragraphs that two documents or more share: ``doc_id, row, first, last, component_id, removed``.
+def equal_pieces(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces of at least a shingle of equal words near lines (first, last, shift): (begin, end, shift), to their full length."""
+    found: set[tuple[int, int, int]] = set()
+    seen = np.zeros(len(x), dtype=bool)
+    for first, last, shift in lines:
+        low, high = max(0, -shift), min(len(x), len(y) - shift)
+        if high - low < SHINGLE or seen[max(0, first) : last + SHINGLE].all():
+            continue
+        a, b, reach = max(low, first - CELL), min(high, last + SHINGLE + CELL), CELL
+        while True:  # as long as equal words go on beyond what was looked at
+            same = x[a:b] == y[a + shift : b + shift]
+            left, right = a > low and same[0], b < high and same[-1]
+            if not left and not right:
+                break
+            reach *= 2
+            a, b = max(low, a - reach * left), min(high, b + reach * right)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if j - i >= SHINGLE:
+                found.add((a + i, a + j, shift))
+                seen[a + i : a + j] = True
+    return sorted(found)
+
+
+def common_passages(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]], similarity: float, least: int, start: int) -> list[tuple[int, int, int, int]]:
+    """Passages of two sequences of word numbers, as (begin, end, begin, end), that are alike: from the longest equal piece on, of
+    ``start`` words or more, the next ones to the left and right are taken in while the exact Jaccard similarity of the whole stays high enough."""
+    left = equal_pieces(x, y, lines)
+    if not left:
+        return []
+    u, v = shingle_codes(x, y)
+    out = []
+    if any(p > 0 and s + p > 0 or q < len(x) and q + s < len(y) for p, q, s in left):  # shorter pieces beside, moved by words left out
+        known, where = np.unique(v, return_index=True)
+        near = np.zeros(len(u), dtype=bool)
+        for p, q, _ in left:
+            near[max(0, p - (q - p) - SHINGLE) : q + (q - p) + SHINGLE] = True
+        for p, q, _ in left:
+            near[p : q - SHINGLE + 1] = False
+        at = np.flatnonzero(near)
+        to = np.minimum(np.searchsorted(known, u[at]), max(0, len(known) - 1))
+        hit = known[to] == u[at]
+        more = [(i, i, j - i) for i, j in zip(at[hit].tolist(), where[to[hit]].tolist(), strict=True)]
+        left = sorted({*left, *equal_pieces(x, y, more)})
+
+    def alike(a: int, b: int, c: int, d: int) -> bool:
+        return jaccard(u[a : b - SHINGLE + 1], v[c : d - SHINGLE + 1]) >= similarity
+
+    while left:
+        a, b, shift = max(left, key=lambda p: (p[1] - p[0], -p[0]))
+        if b - a < start:
+            break
+        c, d = a + shift, b + shift
+        before, after = [p for p in left if p[0] < a][::-1], [p for p in left if p[1] > b]
+        grown = True
+        while grown:
+            grown = False
+            for i, (p, q, s) in enumerate(before):
+                if a - q > b - a:
+                    break
+                if p < a and p + s < c and alike(p, b, p + s, d):
+                    a, c, before, grown = p, p + s, before[i + 1 :], True
+                    break
+            for i, (p, q, s) in enumerate(after):
+                if p - b > b - a:
+                    break
+                if q > b and q + s > d and alike(a, q, c, q + s):
+                    b, d, after, grown = q, q + s, after[i + 1 :], True
+                    break
+        out.append((a, b, c, d))
+        rest = [(p, min(q, a), s) for p, q, s in left if p < a] + [(max(p, b), q, s) for p, q, s in left if q > b]
+        left = sorted(p for p in rest if p[1] - p[0] >= SHINGLE)
+    return [p for p in out if max(p[1] - p[0], p[3] - p[2]) >= least]
+
+
+def numbered_words(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words of two segments as numbers, the same for the same words."""
+    numbers: dict[bytes, int] = {}
+    return tuple(np.array([numbers.setdefault(w, len(numbers)) for w in white_words(s)], dtype=np.int64) for s in (a, b))
+
+
+MATCH = "doc_id long, row long, first int, last int, p_doc long, p_row long, p_first int, p_last int, keys array<long>, at array<int>"
+
+
+def open_paragraphs(words: bytes, lines: list[tuple[int, int, int]], found: list[tuple[int, int, int, int]], window: int, memo: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the paragraphs that a colliding key stands for and that are not in a passage found."""
+    seq = Sequence([words], memo)
+    if seq.n < window:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    width = window - SHINGLE + 1
+    at = np.arange(seq.n - window + 1)
+    first = at + np.argmin(np.lib.stride_tricks.sliding_window_view(seq.windows(SHINGLE), width), axis=1)
+    collides, free = np.zeros(seq.n, dtype=bool), np.ones(len(at), dtype=bool)
+    for a, b, _ in lines:
+        collides[max(0, a) : b + 1] = True
+    for a, b, _, _ in found:
+        free[a : b - window + 1] = False
+    at = np.flatnonzero(collides[first] & free)
+    return at, seq.windows(window)[at]
+
+
+def verified(pairs: DataFrame, held: DataFrame, similarity: float, least: int, window: int, leave: bool) -> DataFrame:
+    """MATCH rows: passages of pairs that are alike, last words exclusive. With ``leave``, also a row for each pair of which paragraphs
+    collide outside of them: without pivot, first and last being the segment's, and with the paragraphs' hashes and places."""
+    schema = arrow_schema(MATCH)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x, y = numbered_words(r["words"], r["p_words"])
+                a, c = r["low"], r["p_low"]
+                lines = [(n["first"] - a, n["last"] - a, n["shift"] + a - c) for n in r["lines"]]
+                found = common_passages(x, y, lines, similarity, least, window // 2)
+                out += [(r["doc_id"], r["row"], a + p[0], a + p[1], r["p_doc"], r["p_row"], c + p[2], c + p[3], None, None) for p in found]
+                if leave:
+                    sides = [(r["doc_id"], r["row"], a, r["high"], r["words"], lines, found)]
+                    p_doc = None if r["p_doc"] == LAST else r["p_doc"]
+                    sides.append((p_doc, r["p_row"], c, r["p_high"], r["p_words"], [(i + s, j + s, -s) for i, j, s in lines], [(p[2], p[3], p[0], p[1]) for p in found]))
+                    for doc, row, low, high, words, its, done in sides:
+                        at, keys = open_paragraphs(words, its, done, window, memo)
+                        if len(at):
+                            out.append((doc, row, low, high, None, None, None, None, keys.view(np.int64).tolist(), (at + low).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
-    component_id is the smallest doc_id that has one of its class or component; null if none has an id.
-    """
-    rows = 2
-    table = paragraph_table(docs, min_words, run, passage, tune_bands(similarity, recall, rows), rows)
-    lines, runs = table.where("keys is not null"), table.where("keys is null")
-    ends = [F.min("row").alias("low"), F.max("row").alias("high")]
-    equal = (F.min("whole") == F.max("whole")).alias("equal")
-    shared = runs.groupBy("h").agg(F.min("row").alias("lowest"), F.max("row").alias("highest"), equal).where("lowest <> highest").select("h", "equal")
-    runs = materialize(runs.join(shared, "h").select("h", "doc_id", "row", "first", "last", "low", "high", "equal"), "runs")
-    groups = runs.where("equal").select("h", "doc_id", "row", F.col("low").alias("first"), (F.col("high") + passage).alias("last"))
-    around = paragraphs_around(docs, runs.where("not equal"), passage)
-    runs = runs.where("not equal").select("h", "doc_id", "row", "first", "last").union(groups)
-
-    distinct = materialize(lines.groupBy("h").agg(*ends, F.any_value("keys").alias("keys")), "lines")
-    linked = connected_components(similar_links(distinct.select("h", "keys"), lines.select("h", "shingles"), similarity)).withColumnRenamed("node", "h")
-    classes = distinct.drop("keys").join(linked, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    wide = classes.groupBy("component").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest <> highest").select("component")
-    lines = lines.join(classes.select("h", "component").join(wide, "component"), "h").select(F.col("component").alias("h"), "doc_id", "row", "first", "last")
-
-    kinds = [df.withColumn("kind", F.lit(i)) for i, df in enumerate((runs, lines, around))]
-    marked = materialize(kinds[0].union(kinds[1]).union(kinds[2]), "marked")
-    discard(table)
-    firsts = marked.groupBy("h", "kind").agg(F.min(_place()).alias("place"), *ends).where("low <> high").select("h", "kind", "place")
-    marked = marked.join(firsts, ["h", "kind"])
-    return marked.select("doc_id", "row", "first", "last", F.nullif(F.col("place.doc_id"), F.lit(LAST)).alias("component_id"), (_place() != F.col("place")).alias("removed"))
-
-
-def merged(spans: list[tuple[int, int, object, bool]]) -> list[tuple[int, int, object, bool]]:
-    """Spans of one document, overlapping or touching ones of a component and fate in one."""
-    out: dict[tuple[object, bool], list[list]] = {}
-    for first, last, component, removed in sorted(spans, key=lambda s: (s[0], s[1])):
-        held = out.setdefault((component, removed), [])
-        if held and first <= held[-1][1]:
-            held[-1][1] = max(held[-1][1], last)
+    mine = held.select("row", "low", "high", "words")
+    other = held.select(F.col("row").alias("p_row"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.col("words").alias("p_words"))
+    on = ["p_row", "p_low", "p_high"]
+    hot = hot_keys(pairs.groupBy(*on).agg(F.count("*").alias("n")), on, "n")
+    both = join_hot(pairs.join(mine.hint("merge"), ["row", "low", "high"]), other, on, hot, F.col("row"))
+    return materialize(both.select("doc_id", "row", "low", "high", "p_doc", "p_row", "p_low", "p_high", "lines", "words", "p_words").mapInArrow(check, MATCH), "matches")
+
+
+def passages(docs: DataFrame, similarity: float = 0.8, least: int = 30, window: int | None = None) -> DataFrame:
+    """``doc_id, row, first, last, p_doc, p_row, p_first, p_last``: a passage of a document beside the earlier one it is like."""
+    window = tuned_window(similarity) if window is None else window
+    keys = key_table(docs, window)
+    places = collisions(keys)
+    discard(keys)
+    pairs = text_pairs(places)
+    discard(places)
+    held = segments(docs, pairs)
+    found = verified(pairs, held, similarity, least, window, True)
+    passage, rest = found.where("keys is null").drop("keys", "at"), found.where("keys is not null")
+    each = rest.select("doc_id", "row", F.col("first").alias("low"), F.col("last").alias("high"), F.explode(F.arrays_zip("keys", "at")).alias("w"))
+    each = each.groupBy(F.col("w.keys").alias("key"), "doc_id", "row", F.col("w.at").alias("at")).agg(F.min("low").alias("low"), F.max_by("high", -F.col("low")).alias("high"))
+    first = F.min("at").over(Window.partitionBy("key", "doc_id", "row"))
+    again = text_pairs(collisions(materialize(each.withColumn("again", F.col("at") > first), "open"), "low", "high"), "low", "high")
+    if again.head(1):
+        passage = passage.union(verified(again, held, similarity, least, window, False).drop("keys", "at"))
+    discard(held)
+    return passage
+
+
+# ---------------------------------------------------------------- spans and components
+
+
+def merged(spans: list[tuple[int, int, bool]]) -> list[tuple[int, list[tuple[int, int, bool]]]]:
+    """Overlapping spans (first, last, removed) of one document as one node: where it begins, and its words in disjoint spans."""
+    nodes: list[list] = []
+    for first, last, _ in sorted(spans):
+        if nodes and first < nodes[-1][1]:
+            nodes[-1][1] = max(nodes[-1][1], last)
+        else:
+            nodes.append([first, last])
+    out = []
+    gone: list[list[int]] = []
+    for first, last, _ in sorted(s for s in spans if s[2]):
+        if gone and first <= gone[-1][1]:
+            gone[-1][1] = max(gone[-1][1], last)
         else:
-            held.append([first, last])
-    return sorted(((a, b, c, r) for (c, r), held in out.items() for a, b in held), key=lambda s: (s[0], s[1], s[3]))
+            gone.append([first, last])
+    for low, high in nodes:
+        parts, at = [], low
+        for a, b in ((max(a, low), min(b, high)) for a, b in gone if a < high and b > low):
+            parts += ([(at, a, False)] if a > at else []) + [(a, b, True)]
+            at = b
+        out.append((low, parts + ([(at, high, False)] if at < high else [])))
+    return out
 
 
-def repeated_spans(docs: DataFrame, **parameters) -> DataFrame:
-    """``doc_id, row, first_word, last_word, n_words, component_id, removed``: merged spans of repeated_paragraphs().
+def repeated_spans(docs: DataFrame, similarity: float = 0.8, least: int = 30, window: int | None = None) -> DataFrame:
+    """``doc_id, row, first_word, last_word, n_words, component_id, removed``: disjoint spans of repeated passages.
 
-    Words are counted from 0, last_word is the last in the span. Documents without a repeated paragraph have no row.
+    Words are counted from 0, last_word is the last in the span; component_id is the smallest doc_id that has a passage of its
+    component, null if none has an id. Documents without a repeated passage have no row.
     """
-    spec = "doc_id long, row long, first_word long, last_word long, n_words long, component_id long, removed boolean"
+    found = passages(docs, similarity, least, window)
+    found = materialize(found.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), "passages")
+    mine = found.select("doc_id", "row", "first", "last", F.lit(True).alias("removed"))
+    other = found.select(F.col("p_doc").alias("doc_id"), F.col("p_row").alias("row"), F.col("p_first").alias("first"), F.col("p_last").alias("last"), F.lit(False).alias("removed"))
+    spec = "node long, doc_id long, row long, first int, last int, removed boolean, whole boolean"
     schema = arrow_schema(spec)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, row, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                out += [(doc, row, a, b - 1, b - a, c, r) for a, b, c, r in merged([(s["first"], s["last"], s["component_id"], s["removed"]) for s in spans])]
+                spans = [(s["first"], s["last"], s["removed"]) for s in spans]
+                made = merged(spans)
+                starts = np.array([m[0] for m in made])
+                ids = [xxhash.xxh64_intdigest(f"{row}:{low}") - (1 << 63) for low in starts.tolist()]
+                out += [(n, doc, row, *part, False) for n, (_, parts) in zip(ids, made, strict=True) for part in parts]
+                out += [(ids[int(np.searchsorted(starts, s[0], side="right")) - 1], doc, row, s[0], s[1], None, True) for s in {(s[0], s[1]) for s in spans}]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
-    found = repeated_paragraphs(docs, **parameters)
-    return found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last", "component_id", "removed")).alias("spans")).mapInArrow(run, spec)
+    # distinct first: of a passage that many share there are few different spans in its first document
+    grouped = mine.union(other).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "removed")).alias("spans"))
+    table = materialize(grouped.mapInArrow(nodes, spec), "nodes")
+    whole = table.where("whole").select("row", "first", "last", "node")
+    on = ["p_row", "p_first", "p_last"]
+    hot = hot_keys(found.groupBy(*on).agg(F.count("*").alias("n")), on, "n")
+    links = found.join(whole.withColumnRenamed("node", "a"), ["row", "first", "last"]).select("a", *on)
+    links = join_hot(links, whole.toDF(*on, "b"), on, hot, F.col("a")).select("a", "b").distinct()
+    linked = connected_components(links)
+    parts = table.where("not whole")
+    owners = parts.groupBy("node").agg(F.min("doc_id").alias("doc"))
+    classes = owners.join(linked, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    classes = materialize(classes, "classes")
+    firsts = materialize(classes.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")), "firsts")
+    classes = join_hot(classes.select("node", "component"), firsts.drop("n"), ["component"], hot_keys(firsts, ["component"], "n"), F.col("node"))
+    out = parts.join(classes, "node")
+    return out.select(
+        F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "row", F.col("first").cast("long").alias("first_word"), (F.col("last") - 1).cast("long").alias("last_word"),
+        (F.col("last") - F.col("first")).cast("long").alias("n_words"), F.nullif("component_id", F.lit(LAST)).alias("component_id"), "removed",
+    )
 
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """docs with the words of all removals taken out of their texts, together with the white space before each; the rest stays as it was."""
     cut = repeated_spans(docs, **parameters).where("removed").groupBy("row").agg(F.collect_set(F.struct("first_word", "last_word")).alias("__cut"))
-    held = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(cut.withColumnRenamed("row", "__row"), "__row", "left")
+    held = packed(docs, F.xxhash64("doc_id", "text").alias("row")).join(cut, "row", "left")
 
     @F.pandas_udf("string")
     def trimmed(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None else cut_words(t, [(s["first_word"], s["last_word"]) for s in c]) for t, c in zip(text, cuts, strict=True)])
 
-    return held.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(trimmed("text", "__cut"))).select(*docs.columns)
+    text = F.when(F.col("__cut").isNull(), F.col("__packed.text")).otherwise(trimmed(F.col("__packed.text"), F.col("__cut")))
+    return unpacked(held, docs, text=text)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    import re
-
     gone = {i for a, b in spans for i in range(a, b + 1)}
     out, at = [], 0
     for i, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text)):

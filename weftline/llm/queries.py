@@ -40,7 +40,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), similarity=0.8, recall=0.99, min_words=20, run=25, passage=51).drop("row")
+    return repeated_spans(table(spark, sf_dir, "documents"), similarity=0.8, least=30).drop("row")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
