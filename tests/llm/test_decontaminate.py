@@ -28,7 +28,7 @@ def plain(docs, items, window):
                 for at in range(len(words) - len(p) + 1):
                     if words[at : at + len(p)] == p:
                         hit.update(range(at, at + len(p)))
-                        found.add(str(item))
+                        found.add("" if item is None else str(item))
         out.append((d, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -68,7 +68,7 @@ def test_shards_as_brute_force(items, docs, window):
 def fixture():
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)] + ["É", "ß"]
-    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([3, 9, 10, 11, 30])))) for i in range(12)] + [(12, None), (13, ""), (14, " - "), (9, "w1 w2 w3 w4")]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([3, 9, 10, 11, 30])))) for i in range(12)] + [(12, None), (13, ""), (14, " - "), (9, "w1 w2 w3 w4"), (None, "w5 w6 w7 w8 w9")]
     docs = [(100 + i, " ".join(r.choices(vocabulary, k=80))) for i in range(30)]
     docs += [(200 + i, "Lead in, " + t.upper().replace("É", "É") + "; " + docs[i][1]) for i, (_, t) in enumerate(items) if t]
     docs += [(300, items[4][1] + " " + items[4][1]), (300, items[4][1] + " " + items[4][1])]

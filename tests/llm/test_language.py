@@ -59,3 +59,40 @@ def test_only_the_text_counts_and_odd_rows(spark):
 def test_long_texts_whole():
     f = Filters.of({"aa": np.unique(text_grams("abc abd")), "zz": np.unique(text_grams("xyz xyw"))})
     assert f.decide("abc " * 300_000 + "xyz " * 400_000)[0] == "zz"
+
+
+def test_filters_against_plain_sets(spark):
+    """Predictions as with one set of n-grams a language, which has no false positives, but where two languages nearly tie."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    seen = {}
+    for d, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(d).encode()) % 5:
+            for g in set(text_grams(text).tolist()):
+                seen.setdefault(lang, {}).setdefault(g, 0)
+                seen[lang][g] += 1
+    sets = {}
+    for lang, times in seen.items():
+        order = sorted(times, key=lambda g: (-times[g], g - (1 << 64) if g >> 63 else g))
+        sets[lang] = set(order[:4000])
+    out = {r.doc_id: r for r in language_of_documents(docs, texts_per_lang=10**9, grams_per_lang=4000).collect()}
+    for d, text, _ in rows:
+        codes = text_grams(text or "").tolist()
+        if not any(c.isalpha() for c in text or ""):
+            assert out[d].lang_pred == "und"
+            continue
+        share = {lang: sum(g in s for g in codes) / len(codes) for lang, s in sets.items()}
+        best = max(sorted(share), key=share.__getitem__)
+        assert abs(out[d].score - share[best]) < 0.05
+        assert out[d].lang_pred == best or share[best] - share[out[d].lang_pred] < 0.03
+
+
+def test_profiles_are_the_most_frequent_whatever_the_parts(spark):
+    rows = [(i, " ".join("abcdefgh"[(i * j) % 8] * 3 for j in range(30)), "xx", "s") for i in range(40)]
+    f = train(documents(spark, rows), grams_per_lang=7)
+    times = {}
+    for _, t, *_ in rows:
+        for g in set(text_grams(t).tolist()):
+            times[g] = times.get(g, 0) + 1
+    best = sorted(times, key=lambda g: (-times[g], g - (1 << 64) if g >> 63 else g))[:7]
+    assert f.counts(np.array(best, dtype=np.uint64))[0] == 7

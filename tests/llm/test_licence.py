@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, documents, with_clash
-from weftline.llm.licence import BASE_PHRASES, LicenceIndex, licence_matches, licence_scan, templates
+from weftline.llm.licence import BASE_PHRASES, LicenceIndex, corpus_index, licence_matches, licence_scan, templates
 
 INDEX = LicenceIndex(templates())
 
@@ -25,7 +25,9 @@ def test_base_places_are_all_found(words, gap):
 
 def test_notices_have_their_labels():
     for t in INDEX.templates:
-        found = {m[0]: m[2] for m in INDEX.scan(b"so it begins " + b" ".join(t.words) + b" and it ends")[2]}
+        found = {}
+        for label, _, score in INDEX.scan(b"so it begins " + b" ".join(t.words) + b" and it ends")[2]:
+            found[label] = max(score, found.get(label, 0))
         assert found[t.label] > 0.99, t.label
 
 
@@ -35,6 +37,33 @@ def test_a_notice_with_a_word_changed_and_without_its_key():
     assert not INDEX.scan(text.replace("without restriction", "with restrictions").encode())[2]
 
 
+def labels(text):
+    return {m[0] for m in INDEX.scan(text.encode())[2]}
+
+
+def test_headers_tags_names_and_addresses():
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert labels(gpl) == {"gpl", "gpl-3.0"}
+    assert labels(gpl.replace("version 3", "version 2")) == {"gpl", "gpl-2.0"}
+    assert labels("// SPDX-License-Identifier: GPL-2.0-or-later */") == {"gpl-2.0-or-later"}
+    assert labels("# SPDX-License-Identifier: MIT") == {"mit"} and labels("# SPDX-License-Identifier: MIT-0") == {"mit-0"}
+    assert labels("see https://www.apache.org/licenses/LICENSE-2.0 for it") == {"apache-2.0"}
+    assert labels("Creative Commons Attribution-NonCommercial 4.0") == {"cc-by-nc"}
+    assert labels("https://creativecommons.org/licenses/by-nc-sa/4.0/") == {"cc-by-nc-sa"}
+    assert labels("CC BY-NC-SA 4.0") == {"cc-by", "cc-by-nc-sa"}
+    assert labels("a license of the public by the general, mit and gnu version") == set()
+
+
+def test_frequencies_of_the_corpus_choose_the_rare_words(spark):
+    docs = [(i, "the mozilla mozilla foundation and its source code") for i in range(50)] + [(99, "Mozilla Public License"), (100, None)]
+    index = corpus_index(documents(spark, docs))
+    at = next(i for i, t in enumerate(index.templates) if t.words == (b"mozilla", b"public", b"license"))
+    assert index.rare[at][0] != b"mozilla" and LicenceIndex(templates()).rare[at][0] == b"mozilla"
+    assert [m[0] for m in index.scan(b"the mozilla public license")[2]] == ["mpl"]
+    out = {r.doc_id: r.labels for r in licence_scan(documents(spark, docs)).collect()}
+    assert out[99] == "mpl" and {out[i] for i in range(50)} == {""}
+
+
 def test_scan(spark):
     docs = [(10, "Licensed under the Apache License, Version 2.0. And the MIT license too."), (11, "gnu general public"), (12, "under CC-BY-NC 4.0"), *ODD]
     out = {r.doc_id: r for r in licence_scan(with_clash(documents(spark, docs), "labels", "score")).collect()}

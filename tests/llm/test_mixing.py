@@ -29,6 +29,10 @@ def test_bisection():
     assert math.isclose(M.repetition(a, held), 3.0, rel_tol=1e-9) and math.isclose(a, 1 - math.log(3) / math.log(200), rel_tol=1e-9)
     e = M.bisect(lambda x: M.entropy(x, held), 0.9)
     assert math.isclose(M.entropy(e, held), 0.9, rel_tol=1e-9)
+    low = M.bisect(lambda x: M.entropy(x, held), 0.1, widest=100.0)
+    assert low > 1 and math.isclose(M.entropy(low, held), 0.1, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        M.bisect(lambda x: M.repetition(x, held), 0.5)
     assert M.bisect(lambda x: M.repetition(x, held), 1000) == 0.0 and M.bisect(lambda x: M.repetition(x, held), 1.0) > 1 - 1e-12
 
 
@@ -36,7 +40,10 @@ def test_spark_measures_are_the_same(spark):
     held = np.array([5.0, 70.0, 1000.0])
     frame = spark.createDataFrame([(int(t),) for t in held], "tokens long")
     spread, bits = M._spark_measures(frame, held.sum())
-    for a in (0.0, 0.3, 1.0):
+    for a in (0.0, 0.3, 1.0, 3.5, 400.0):
+        if a > 100:  # shares of that power are 0 or 1
+            assert M.entropy(a, held) == 0 == bits(a)
+            continue
         assert math.isclose(spread(a), M.repetition(a, held)) and math.isclose(bits(a), M.entropy(a, held), abs_tol=1e-12)
     assert math.isclose(M.find_alpha(frame, 2.0, None, most_rows=1), M.find_alpha(frame, 2.0, None), rel_tol=1e-9)
 
@@ -126,3 +133,34 @@ def test_positions_interleave_sources(spark):
     epochs = out.groupBy("source", "epoch").agg(F.min("position").alias("a"), F.max("position").alias("b")).collect()
     by = {(e.source, e.epoch): e for e in epochs}
     assert all(by[s, k].b <= by[s, k + 1].a for s, k in by if (s, k + 1) in by)
+
+
+def test_low_entropy_takes_an_alpha_above_one(spark):
+    rows = [(i, "w " * 10, "en", s) for i, s in enumerate(["a"] * 100 + ["b"] * 60 + ["c"] * 40)]
+    docs = documents(spark, rows)
+    held = np.array([1000.0, 600.0, 400.0])
+    assert M.entropy(1.0, held) > 1.02
+    out = M.temperature_mix(docs, max_repetition=None, target_entropy=0.5)
+    weights = {r.source: r.weight for r in out.select("source", "weight").distinct().collect()}
+    assert math.isclose(-sum(w * math.log(w) for w in weights.values()), 0.5, rel_tol=1e-6) and weights["a"] > weights["b"] > weights["c"]
+    taken = Counter(r.source for r in out.collect())
+    assert math.isclose(taken["a"] / out.count(), weights["a"], abs_tol=0.02) and taken["c"] == 40
+    with pytest.raises(ValueError):
+        M.temperature_mix(docs, max_repetition=1.5, target_entropy=0.5)
+    with pytest.raises(ValueError):  # three sources that tie never come below log 3
+        M.temperature_mix(documents(spark, [(i, "w", "en", str(i % 3)) for i in range(9)]), max_repetition=None, target_entropy=0.5)
+
+
+def test_documents_come_in_the_order_of_the_mix(spark, tmp_path):
+    docs = with_clash(documents(spark, corpus()), "__packed", "h", "epoch", "position", "__salt").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    place = {}
+    for r in M.temperature_mix(docs, max_repetition=2.0, block_tokens=50).collect():
+        place.setdefault((r.doc_id, r.n_tokens, r.source), []).append(r.position)
+    out = M.mixed_documents(docs, max_repetition=2.0, block_tokens=50)
+    assert out.schema.names == docs.columns
+    out.write.parquet(str(tmp_path / "mix"))
+    files = sorted((tmp_path / "mix").glob("part-*"))
+    rows = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    first = {k: iter(sorted(v)) for k, v in place.items()}
+    at = [next(first[(r["doc_id"], len((r["text"] or "").split()), r["source"])]) for r in rows]
+    assert len(at) == sum(map(len, place.values())) and at == sorted(at)

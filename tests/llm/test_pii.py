@@ -38,7 +38,7 @@ TEXTS = [
 
 
 def check(spark, rows):
-    out = personal_data(with_clash(documents(spark, rows), "spans", "rid", "k")).collect()
+    out = personal_data(with_clash(documents(spark, rows), "spans", "rid", "k", "pattern", "start", "n_found")).collect()
     assert len(out) == len(rows)
     want = sorted([(repr(d), *plain(t)[:2]) for d, t in rows], key=repr)
     got = sorted([(repr(r.doc_id), [r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) for r in out], key=repr)
@@ -92,6 +92,59 @@ def test_contexts_find_what_the_base_does_not(spark):
     assert {d: [r.n_email, r.n_ip, r.n_card, r.n_phone] for d, r in out.items()} == {d: plain(t)[0] for d, t in rows}
 
 
+def chain():
+    """Secrets and phones that only contexts of the turn before lead to."""
+    r = random.Random(4)
+
+    def key(n):
+        return "".join(r.choice("abcdef0123456789") for _ in range(n - 2)) + "a1"
+
+    rows = [(i, f'then token = "{key(40)}" it says {i} times') for i in range(100)]  # seeds: a token in quotes
+    bare = [key(20) for _ in range(20)]
+    rows += [(100 + i, f"then token = {k} it") for i, k in enumerate(bare)]  # found by the words before
+    rows += [(200 + i, f"logged in with cookie {k} twice") for i, k in enumerate(bare)]  # the same ones in another context
+    rows += [(300 + i, f"logged in with cookie {key(12)} twice") for i in range(3)]  # found by that context, which no seed has
+    rows += [(400 + i, f"version {key(12)} of the file") for i in range(9)]  # in no such context
+    rows += [(500 + i, "it says that the file is in the file twice, then it says so") for i in range(150)]
+    return rows
+
+
+def test_later_turns_find_by_contexts_that_no_seed_has(spark):
+    docs = documents(spark, chain())
+
+    def found(turns):
+        return {r.doc_id for r in personal_data(docs, turns=turns).where("n_secret > 0").collect()}
+
+    first = set(range(120))
+    assert found(1) == first
+    assert found(8) == first | set(range(200, 220)) | set(range(300, 303))
+    out = {r.doc_id: r for r in personal_data(docs).collect()}
+    assert out[0].spans == "secret:14:54" and out[0].n_found == out[0].n_secret == out[0].n_spans == 1 and out[400].spans == ""
+    assert out[300].spans == "secret:22:34" and out[200].spans == "secret:22:42"
+
+
+def test_discovery_on_planted_contexts(spark):
+    """Recall and precision of what the base leaves, in text with as many decoys."""
+    r = random.Random(5)
+    words = "the of and to in that it was for on with as his they be at one have this from".split()
+
+    def prose(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    lead = {"phone": "phone no.", "email": "reply to:", "ip": "host address"}
+    good = {"phone": lambda: f"+1 859 555 {r.randrange(1000, 9999)}", "email": lambda: f"u{r.randrange(9999)}@h{r.randrange(999)}.org", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4))}
+    odd = {"phone": lambda: f"859-555-{r.randrange(1000, 9999)}", "email": lambda: f"u{r.randrange(9999)}@localhost", "ip": lambda: ".".join(str(r.randrange(300, 999)) for _ in range(4))}
+    rows, want = [], set()
+    for i in range(600):
+        kind = r.choice(list(lead))
+        planted = r.random() < 0.5
+        rows.append((i, f"{prose(8)} {lead[kind]} {(odd if planted else good)[kind]()} {prose(8)} {odd[kind]() if i % 3 == 0 else ''} {prose(4)}"))
+        want |= {i} if planted else set()
+    got = {x.doc_id: x.n_found for x in personal_data(documents(spark, rows)).collect()}
+    hits = sum(got[i] > 0 for i in want)
+    assert hits >= 0.95 * len(want) and sum(got.values()) - hits <= 0.05 * hits
+
+
 def test_too_few_seeds_find_nothing(spark):
     rows = [x for x in story() if x[0] not in range(4, 30)]
     out = personal_data(documents(spark, rows)).where("doc_id between 200 and 204")

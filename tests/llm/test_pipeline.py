@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from tests.llm import test_decontaminate as decontaminate
 from tests.llm import test_quality as quality
@@ -61,10 +63,43 @@ def test_stages_against_plain_forms(spark, tmp_path):
             assert Counter(r.doc_id for r in docs.collect()) == mixed and set(mixed) == want and max(mixed.values()) == 2
             shards = Counter((r.doc_id, r.shard) for r in extendible_shards(docs, 64 << 20).collect())
     out = Counter((r.doc_id, r.shard) for r in docs.collect())
-    assert out == shards
+    assert out == shards  # one shard holds them all
     assert Counter((r.doc_id, r.shard) for r in C.run(spark, str(tmp_path)).collect()) == out
 
 
+def test_clashing_columns_maps_and_repeated_rows(spark, tmp_path):
+    """Every column goes through every stage, whatever its name or type; of repeated rows one stays."""
+    r = random.Random(12)
+    rows = [(i, prose(r, 40), "en", "big" if i % 3 else "small") for i in range(40)]
+    rows += [rows[0]] * 5 + [(1, prose(r, 40), "en", "big"), (None, rows[2][1], "en", "big"), (None, prose(r, 40), "en", "big"), (None, None, None, None)]
+    names = ["__n", "__kept", "__id", "__deal", "__packed", "__salt", "fp", "component", "shard", "depth", "h", "n_bytes", "key", "hit", "epoch", "position", "a.b", "n_words"]
+    docs = documents(spark, rows)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, " ".join(rows[7][1].split()[:12])), (None, " ".join(rows[8][1].split()[:12]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    counts = {}
+    for name, stage in C.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == (columns if name != "sharding" else [*columns, "shard_2", "depth_2"])
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts[name] = Counter(x.doc_id for x in docs.collect())
+    assert sum(counts["quality"].values()) == len(rows) - 1
+    # copies of rows 0 and 2 go, also the one without an id; both texts of id 1 stay, and the other row without an id
+    assert counts["near_duplicates"] == Counter([*range(40), 1, None])
+    assert counts["decontamination"] == Counter([i for i in range(40) if i not in (7, 8)] + [1, None])
+    assert set(counts["mixing"]) == set(counts["sharding"]) == set(counts["decontamination"])
+    for x in docs.collect():
+        for n in names:
+            assert x[n] == f"{n}:{'none' if x.doc_id is None else x.doc_id}"
+        assert x.m == {"k": x.doc_id}
+
+
 def test_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -44,20 +44,40 @@ def test_overflow_pages(spark):
         count[r.shard] += 1
     assert all(n <= 40 or count[s] == 1 for s, n in size.items())
     assert len({r.shard for r in out if r.doc_id == 1 and r.n_bytes}) == 13
+    docs = sharded_documents(documents(spark, rows).repartition(5), 40).collect()
+    size, count = defaultdict(int), Counter()
+    for r in docs:
+        size[r.shard] += len((r.text or "").encode())
+        count[r.shard] += 1
+    assert len(docs) == len(rows) and all(n <= 40 or count[s] == 1 for s, n in size.items())
+    assert len({r.shard for r in docs if r.text == "same text"}) == 13
 
 
 def test_documents_and_files(spark, tmp_path):
     docs = with_clash(documents(spark, [(i, "z" * 50) for i in range(100)] + ODD[:5]), "h", "shard", "prefix")
     out = sharded_documents(docs, 300)
     want = Counter((r.doc_id, r.shard) for r in extendible_shards(docs, 300).collect())
-    assert Counter((r.doc_id, r.shard) for r in out.collect()) == want
-    assert set(out.columns) == {*docs.columns, "depth"}
+    assert Counter((r.doc_id, r.shard_2) for r in out.collect()) == want
+    assert out.columns == [*docs.columns, "shard_2", "depth"] and {r.shard for r in out.collect()} == {r.shard for r in docs.collect()}
     write_shards(docs, str(tmp_path / "shards"), 300)
     back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == len({s for _, s in want})
+    assert back.count() == docs.count() and back.select("shard_2").distinct().count() == len({s for _, s in want})
     assert extendible_shards(documents(spark, [])).count() == 0 and sharded_documents(documents(spark, [])).count() == 0
 
 
+def test_copies_spread_over_shards(spark, tmp_path):
+    docs = documents(spark, [(i, "z" * 40) for i in range(50)]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs.union(docs).withColumn("at", F.monotonically_increasing_id()).repartitionByRange(2, "at").sortWithinPartitions("at").drop("at").write.parquet(str(tmp_path / "mix"))
+    twice = spark.read.parquet(str(tmp_path / "mix"))
+    out = sharded_documents(twice, 200, spread_copies=True).collect()
+    apart = Counter(len({r.shard for r in out if r.doc_id == i}) for i in range(50))
+    assert len(out) == 100 and apart[2] >= 40
+    size = Counter()
+    for r in out:
+        size[r.shard] += len(r.text)
+    assert max(size.values()) <= 200
+
+
 def test_sql_on_a_smaller_limit(spark):
     path = "/root/testdata/sf0.01"
     got = extendible_shards(spark.read.parquet(f"{path}/documents.parquet"), 1 << 16)

@@ -129,6 +129,12 @@ def map_texts(df: DataFrame, columns: list[str], row: Callable[[bytes], tuple],
     return df.select(*columns).mapInArrow(run, spec)
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow() of a function that keeps the columns of docs, whatever their names; the text is ``text`` in its batches."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 # ---------------------------------------------------------------- joins beside a checked size
 
 
@@ -159,14 +165,14 @@ def hot_keys(counts: DataFrame, on: list[str], n: str) -> DataFrame:
     return counts.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("int").alias("__salts"))
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt_by: Column, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt_by: Column, how: str = "inner", hint: str | None = None) -> DataFrame:
     """left join right on keys of which left may hold any number of rows: rows of hot_keys() are dealt to as many tasks as their
     number asks for, and right's row of such a key is repeated for each. The table of hot keys is small by its making."""
     hot = F.broadcast(hot)
     dealt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("__salts"))).cast("int")
     salted = left.join(hot, on, "left").withColumn("__salt", dealt).drop("__salts")
     spread = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint(hint) if hint else spread, [*on, "__salt"], how).drop("__salt")
 
 
 # ---------------------------------------------------------------- rows with columns of any names
@@ -181,9 +187,11 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("__packed"), *more)
 
 
-def unpacked(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
-    """The columns of docs out of ``__packed``, some replaced."""
-    return df.select(*(replaced.get(c, F.col("__packed").getField(c)).alias(c) for c in docs.columns))
+def unpacked(df: DataFrame, docs: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of ``__packed``, but those that are given; given ones that docs has not come after them."""
+    given = given or {}
+    held = [given.get(c, F.col("__packed").getField(c)).alias(c) for c in docs.columns]
+    return df.select(*held, *(column.alias(c) for c, column in given.items() if c not in docs.columns))
 
 
 # ---------------------------------------------------------------- connected components
@@ -193,23 +201,29 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
     """Components of an undirected graph by alternating large-star and small-star passes.
 
     edges: two long columns. Returns ``node, component`` (the smallest node reachable) for every node with an edge to another.
-    Each pass aggregates with partial sums and joins on the node, so a hub with any number of edges is never gathered in one
-    task; each pass is written to the shared folder. The number of passes grows with the logarithm of the longest chain.
+    Each pass aggregates with partial sums, and deals the edges of a hub to as many tasks as their number asks for; each pass
+    is written to the shared folder. The number of passes grows with the logarithm of the longest chain.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     now = materialize(pairs, "edges")
+    partitions = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def digest(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    def with_least(rows: DataFrame, share: int) -> DataFrame:
+        """rows beside the least v of their u; a u of more than ``share`` rows is dealt out, at most 16 for each partition."""
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = least.where(F.col("n") > share).select("u", F.ceil(F.col("n") / share).cast("int").alias("__salts"))
+        return join_hot(rows, least.drop("n"), ["u"], hot, F.col("v"))
 
     known = digest(now)
     for _ in range(rounds):
+        share = max(256, known[0] // (8 * partitions))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        large = with_least(both, share).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = with_least(large, share)
+        stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v")))
         after = materialize(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         discard(now)
         now, before, known = after, known, digest(after)

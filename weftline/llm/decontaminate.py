@@ -3,8 +3,10 @@
 A shard is a bounded slice of a partition's documents. Its sequence has a symbol for each word of a phrase; only runs of
 words in which each two neighbours are neighbours in some phrase can hold one, so the others are left out of the index
 beforehand. Phrases are searched backwards all at once, their occurrences located from sampled positions, and the spans of
-one document merged. Items are taken in blocks of bounded size, one pass over the corpus each. A null text or item has no
-words; an item without words has no phrase; items of equal text or id are told apart by their ids, equal ids count once.
+one document merged. Items are taken in blocks of bounded size, one pass over the corpus each, of which only documents with
+hits are kept. A null text or item has no words; an item without words has no phrase; items of equal text or id are told
+apart by their ids, equal ids count once, and a null id counts as the empty string. Rows with equal doc_id and text have equal
+results. Further columns are not looked at, whatever their names; where documents are returned, they go along untouched.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, alnum_words, arrow_schema, materialize, pieces, texts
+from .common import CHUNK_BYTES, alnum_words, arrow_schema, join_checked, map_rows, materialize, packed, pieces, texts, unpacked
 from .fmindex import FMIndex
 
 
@@ -32,7 +33,7 @@ class Phrases:
         for item, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in alnum_words(text)]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(str(item))
+                found.setdefault(tuple(words[i : i + window]), set()).add("" if item is None else str(item))
         self.top = len(self.numbers)
         self.by_length: dict[int, tuple[np.ndarray, list[frozenset[str]]]] = {}
         for n in sorted({len(p) for p in found}):
@@ -126,24 +127,27 @@ def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[ob
     yield block
 
 
-def block_spans(docs: DataFrame, block: list[tuple[object, bytes]], window: int = 10) -> DataFrame:
-    """Every row of docs with its columns, then ``__words long, __spans array<long>, __items array<string>`` for a block of items.
+HITS = "doc_id long, key long, n_words long, spans array<long>, items array<string>"
 
-    Spans are in words of the whole text, end exclusive.
+
+def block_spans(docs: DataFrame, block: list[tuple[object, bytes]], window: int = 10, only_hits: bool = False) -> DataFrame:
+    """HITS of every row of docs, or of those with hits, for a block of items: spans in words of the whole text, end exclusive.
+
+    key is a hash of doc_id and text.
     """
-    out = T.StructType([*docs.schema, T.StructField("__words", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
-    added = arrow_schema("__words long, __spans array<long>, __items array<string>")
+    schema = arrow_schema(HITS)
     held = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(held.value, window)
         for batch in batches:
             for piece in pieces(batch, "text", CHUNK_BYTES):
-                made = shard_hits(texts(piece, "text"), phrases)
-                arrays = [pa.array(v, type=f.type) for v, f in zip((made[0], made[1], [sorted(x) for x in made[2]]), added, strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], schema=pa.schema([*piece.schema, *added]))
+                counts, spans, items = shard_hits(texts(piece, "text"), phrases)
+                arrays = [piece.column(0), piece.column(1), *(pa.array(v, type=f.type) for v, f in zip((counts, spans, [sorted(x) for x in items]), list(schema)[2:], strict=True))]
+                out = pa.RecordBatch.from_arrays(arrays, schema=schema)
+                yield out.filter(pa.array([bool(x) for x in spans], type=pa.bool_())) if only_hits else out
 
-    return docs.mapInArrow(run, out)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, HITS)
 
 
 def block_filter(docs: DataFrame, block: list[tuple[object, bytes]], window: int = 10) -> DataFrame:
@@ -156,7 +160,7 @@ def block_filter(docs: DataFrame, block: list[tuple[object, bytes]], window: int
             for piece in pieces(batch, "text", CHUNK_BYTES):
                 yield piece.filter(pa.array([not s for s in shard_hits(texts(piece, "text"), phrases)[1]], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def _covered(spans: list[int]) -> int:
@@ -170,38 +174,47 @@ def _covered(spans: list[int]) -> int:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of docs.
 
-    With one block of items that is a single pass without a shuffle; with more, rows meet by doc_id and text hash.
+    With one block of items that is a single pass without a shuffle. With more, each block gives the rows it hits; those of one
+    document are gathered and join the narrow rows of all documents.
     """
-    docs = docs.select("doc_id", "text")
     blocks = item_blocks(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
-    schema = arrow_schema("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    spec = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = arrow_schema(spec)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.to_pydict()
-            hits = [_covered(s) for s in held["__spans"]]
-            items = [sorted(set(i)) for i in held["__items"]]
+            hits = [_covered(s or []) for s in held["spans"]]
+            items = [sorted(set(i or ())) for i in held["items"]]
             sums = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_pydict({"doc_id": held["doc_id"], "n_words": held["__words"], "n_hit": hits, "n_items": [len(i) for i in items], "items_sha256": sums, "contaminated": [h > 0 for h in hits]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": held["doc_id"], "n_words": held["n_words"], "n_hit": hits, "n_items": [len(i) for i in items], "items_sha256": sums, "contaminated": [h > 0 for h in hits]}, schema=schema)
 
-    spec = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    columns = ["doc_id", "__words", "__spans", "__items"]
-    if second is None:
-        return block_spans(docs, first, window).select(*columns).mapInArrow(digest, spec)
-    every, times = None, 0
-    for block in chain((first, second), blocks):  # one block at a time is held and sent
-        part = materialize(block_spans(docs, block, window).select(*columns, F.xxhash64("text").alias("__key")), "spans")
-        every, times = part if every is None else every.union(part), times + 1
-    one = every.groupBy("doc_id", "__key", "__words").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.flatten(F.collect_list("__items")).alias("__items"), F.count("*").alias("__n"))
-    again = F.explode(F.sequence(F.lit(1), (F.col("__n") / times).cast("int")))
-    return one.select(*columns, again).select(*columns).mapInArrow(digest, spec)
+    every = block_spans(docs, first, window)
+    if second is not None:
+        every = materialize(every, "spans")
+        hits = every.where(F.size("spans") > 0).select("key", "spans", "items").dropDuplicates(["key"])
+        for block in chain((second,), blocks):  # one block at a time is held and sent
+            more = materialize(block_spans(docs, block, window, True), "spans")
+            hits = hits.union(more.select("key", "spans", "items").dropDuplicates(["key"]))
+        hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        every = join_checked(every.select("doc_id", "key", "n_words"), materialize(hits, "hits"), ["key"], "left", salt_by=F.monotonically_increasing_id())
+    return every.select("doc_id", "key", "n_words", "spans", "items").mapInArrow(digest, spec)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs without the rows in which an item's phrase occurs; columns as they were, a pass over the rest for each block."""
+    """docs without the rows in which an item's phrase occurs; columns as they were.
+
+    With one block of items that is a single pass. With more, each gives the keys of the rows it hits, and rows go by their keys.
+    """
     blocks = item_blocks(benchmark, block_bytes)
-    out = block_filter(docs, next(blocks), window)
-    for block in blocks:
-        out = block_filter(materialize(out, "clean"), block, window)
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return block_filter(docs, first, window)
+    keys = None
+    for block in chain((first, second), blocks):
+        part = materialize(block_spans(docs, block, window, True).select("key").distinct(), "keys")
+        keys = part if keys is None else keys.union(part)
+    rows = packed(docs, F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("deal"))
+    held = join_checked(rows, materialize(keys.distinct().withColumn("hit", F.lit(True)), "keys"), ["key"], "left", salt_by=F.col("deal"))
+    return unpacked(held.where("hit is null"), docs)

@@ -6,7 +6,9 @@ languages that contain it, false positives included. A text's language is the on
 after the expected false positives, from the share of a language's bits that are set, are taken off.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned. Ties go to the language that is first
-in byte order. Training rows need a text and a language; their number for each language is bounded by a parameter.
+in byte order. Training rows need a text and a language; their number for each language is bounded by a parameter, and so is
+that of a language's n-grams, so the model, which the driver and every task hold, grows with the number of languages alone.
+Repeated rows are predicted alike; they count each in training. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, map_texts
 
 SIZES = (2, 3, 4)
+#: Very long texts are read in pieces of so many characters.
+PIECE = 1 << 20
+#: A language's n-grams are ranked in so many parts.
+DEALS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +69,16 @@ def text_grams(text: str) -> np.ndarray:
     return np.concatenate([grams(points, n) for n in SIZES])
 
 
+def gram_pieces(text: str) -> Iterator[np.ndarray]:
+    """text_grams() of a text of any length, in overlapping pieces."""
+    for at in range(0, len(text), PIECE):
+        yield text_grams(text[at : at + PIECE + max(SIZES)])
+
+
+def distinct_grams(text: str) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *map(np.unique, gram_pieces(text))]))
+
+
 @dataclass
 class Filters:
     """slots: one row of 64-bit words for each slot, a bit for each language; false_positive: of each language."""
@@ -107,8 +123,7 @@ class Filters:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         seen = 0
-        for at in range(0, len(text), 1 << 20):  # very long texts in overlapping pieces
-            codes = text_grams(text[at : at + (1 << 20) + max(SIZES)])
+        for codes in gram_pieces(text):
             seen += len(codes)
             total += self.counts(codes)
         share = np.clip((total / max(1, seen) - self.false_positive) / (1 - self.false_positive), 0, 1)
@@ -126,7 +141,7 @@ def train(docs: DataFrame, texts_per_lang: int = 2000, grams_per_lang: int = 400
     Each language gives about ``texts_per_lang`` whole texts, dealt by hash: the bound on the training sample. An n-gram counts
     once for each text, so no long text makes a profile.
     """
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Filters.of({})
@@ -138,13 +153,15 @@ def train(docs: DataFrame, texts_per_lang: int = 2000, grams_per_lang: int = 400
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(np.unique(text_grams(text)))
+                by.setdefault(lang, []).append(distinct_grams(text))
             for lang, found in by.items():
                 codes, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(times)], schema=schema)
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= grams_per_lang)
+    best = F.row_number().over(Window.partitionBy("lang", "deal").orderBy(F.desc("n"), "gram"))  # first by parts, then of their best
+    parts = counts.withColumn("deal", F.pmod("gram", F.lit(DEALS))).withColumn("rank", best).where(F.col("rank") <= grams_per_lang)
+    top = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= grams_per_lang)
     profiles: dict[str, list[int]] = {}
     for r in top.select("lang", "gram").collect():
         profiles.setdefault(r.lang, []).append(r.gram)

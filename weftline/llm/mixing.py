@@ -1,13 +1,16 @@
 """Mixing sources to target weights: temperature on token shares, realised as budgeted block permutations.
 
-A source's weight is its token share to the power alpha, normalised. Alpha is found by bisection: the smallest in [0, 1],
-so the flattest mix, that keeps within the repetition limit and, if one is given, does not exceed the target entropy.
+A source's weight is its token share to the power alpha, normalised. Alpha is found by bisection: the smallest, so the
+flattest mix, that keeps within the repetition limit and, if one is given, does not exceed the target entropy. An entropy below that
+of the shares themselves takes an alpha above 1, which favours large sources. What no alpha can meet is an error: an entropy below the
+logarithm of the number of sources that tie as the largest, or one that takes more repetition than the limit.
 The token budget is by default the least that passes over every source at least once, so no document is lost; a source's
 passes are then weight * budget / tokens. Whole passes take every document; the last, broken one takes whole blocks of the
 source in permuted order while they fit, then documents of the next block in permuted order while they fit.
 
 A null source is a source of its own. A source without tokens has weight 0 and is passed once. Rows with equal doc_id and text
-stay together. Tokens are words ``[^\\x20\\x09-\\x0D]+``; a null text has none.
+stay together. Tokens are words ``[^\\x20\\x09-\\x0D]+``; a null text has none. Further columns are not looked at, whatever their
+names; where documents are returned, they go along untouched.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_checked, materialize, small_enough
+from .common import discard, join_checked, materialize, packed, small_enough, unpacked
 
 #: A source has at most so many blocks; so has a window over them, and a block at most that share of its source.
 MOST_BLOCKS = 1 << 16
+#: The greatest alpha that is tried; shares to that power are all but the largest source.
+WIDEST = 1 << 20
 
 
 def n_tokens(text: str | Column) -> Column:
@@ -33,11 +38,15 @@ def token_sizes(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "source", n_tokens("text").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("h")), "tokens")
 
 
-def bisect(measure: Callable[[float], float], most: float, steps: int = 60) -> float:
-    """The smallest alpha in [0, 1] at which a measure that falls with alpha is at most ``most``; 1 if none."""
+def bisect(measure: Callable[[float], float], most: float, steps: int = 60, widest: float = 1.0) -> float:
+    """The smallest alpha at which a measure that falls with alpha is at most ``most``; an error if there is none up to ``widest``."""
     if measure(0.0) <= most:
         return 0.0
     low, high = 0.0, 1.0
+    while measure(high) > most * (1 + 1e-12):
+        low, high = high, high * 2
+        if high > widest:
+            raise ValueError(f"no mix comes down to {most}")
     for _ in range(steps):
         middle = (low + high) / 2
         low, high = (low, middle) if measure(middle) <= most else (middle, high)
@@ -52,22 +61,23 @@ def repetition(alpha: float, tokens: np.ndarray) -> float:
 
 def entropy(alpha: float, tokens: np.ndarray) -> float:
     """In nats, of the weights."""
-    w = (tokens / tokens.sum()) ** alpha
-    w = w / w.sum()
+    w = (tokens / tokens.max()) ** alpha
+    w = w[w > 0] / w.sum()
     return float(-(w * np.log(w)).sum())
 
 
 def _spark_measures(sources: DataFrame, total: float) -> tuple[Callable[[float], float], Callable[[float], float]]:
     """The same over a table of sources that the driver should not hold: an aggregate for each step."""
     p = F.col("tokens") / F.lit(float(total))
+    most = float(sources.agg(F.max("tokens")).first()[0] or 1)
 
     def spread(alpha: float) -> float:
         r = sources.agg(F.max(F.pow(p, F.lit(alpha - 1))).alias("a"), F.min(F.pow(p, F.lit(alpha - 1))).alias("b")).first()
         return r.a / r.b
 
     def bits(alpha: float) -> float:
-        w = F.pow(p, F.lit(float(alpha)))
-        r = sources.agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("e")).first()
+        w = F.pow(F.col("tokens") / F.lit(most), F.lit(float(alpha)))
+        r = sources.agg(F.sum(w).alias("z"), F.sum(F.when(w > 0, w * F.log(w))).alias("e")).first()
         return float(np.log(r.z) - r.e / r.z)
 
     return spread, bits
@@ -87,8 +97,11 @@ def find_alpha(sources: DataFrame, max_repetition: float | None, target_entropy:
     if max_repetition is not None:
         found.append(bisect(spread, max_repetition))
     if target_entropy is not None:
-        found.append(bisect(bits, target_entropy))
-    return max(found)
+        found.append(bisect(bits, target_entropy, widest=float(WIDEST)))
+    alpha = max(found)
+    if max_repetition is not None and spread(alpha) > max_repetition * (1 + 1e-9):
+        raise ValueError(f"an entropy of {target_entropy} takes more than {max_repetition} repetitions")
+    return alpha
 
 
 def _chance(*parts: Column) -> Column:
@@ -181,9 +194,11 @@ def temperature_mix(docs: DataFrame, max_repetition: float | None = 2.0, target_
 
 
 def mixed_documents(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their own columns; texts are not shuffled."""
+    """The rows of docs as often as the mix takes them, with their own columns, in the order of the mix: partitions by ``position``,
+    sorted within, and a block's documents in permuted order. Written out and read again by file, that order stays."""
     sizes = token_sizes(docs)
     plan = mixing_plan(sizes, max_repetition, target_entropy, budget, block_tokens)
     discard(sizes)
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), "source", F.xxhash64("doc_id", "text").alias("h"))
-    return _taken(whole, plan).select("__row.*")
+    whole = packed(docs, "source", F.xxhash64("doc_id", "text").alias("h"))
+    taken = _taken(whole, plan).withColumn("__draw", _chance(F.lit("place"), F.col("epoch"), F.col("h")))
+    return unpacked(taken.repartitionByRange("position", "__draw").sortWithinPartitions("position", "__draw"), docs)

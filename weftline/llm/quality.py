@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, map_texts, texts, white_words
+from .common import WHITE, map_rows, map_texts, texts, white_words
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -141,7 +141,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
         for batch in batches:
             yield batch.filter(pa.array([passes(t, order) for t in texts(batch, "text")], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:

@@ -32,7 +32,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"), confidence=0.8, seeds=5, turns=3)
+    return personal_data(table(spark, sf_dir, "documents"), confidence=0.8, seeds=5, turns=8)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 SQL["op7_decontaminate"] = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
-items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
 phrases AS (
   SELECT item, least(len(ws), 10) AS n, array_to_string(ws[i:i+9], ' ') AS v
   FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),

@@ -1,7 +1,12 @@
 """Near-duplicates by SimHash: pigeonhole blocks find close fingerprints, Hamming distance verifies them, components group them.
 
 Nulls and texts without a word have fingerprint zero and link like any other. Rows with equal doc_id and text are rows of
-their own with equal results. A null doc_id is never a component's id unless every doc_id of the component is null.
+their own with equal results. A null doc_id is never a component's id unless every doc_id of the component is null. Further
+columns are not looked at; where documents are returned, they go along untouched.
+
+All that is joined are fingerprints, each once: a group of copies of any size is one, and however many near copies there are,
+no more than 679121 fingerprints differ from one in four bits or fewer. Rows meet their component by a join that deals out hot
+fingerprints.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, materialize, spread_buckets, white_words
+from .common import connected_components, discard, hot_keys, join_hot, map_texts, materialize, packed, spread_buckets, unpacked, white_words
 
 BITS = 64
 
@@ -106,12 +111,23 @@ def close_links(distinct: DataFrame, distance: int = 4, few: int = 32, chunk: in
 
 
 def simhash_groups(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """``fp, component, component_id`` for the distinct fingerprints of ``doc_id, fp``; component is one of its fingerprints."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    """``fp, n, component, component_id`` for the distinct fingerprints of ``doc_id, fp``, n being the rows that have it; component
+    is one of its fingerprints."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     linked = connected_components(close_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
-    grouped = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    return materialize(grouped.join(least, "component").select("fp", "component", "component_id"), "groups")
+    grouped = materialize(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "grouped")
+    least = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "least")
+    whole = join_hot(grouped, least.drop("size"), ["component"], hot_keys(least, ["component"], "size"), F.col("fp"))
+    out = materialize(whole.select("fp", "n", "component", "component_id"), "groups")
+    for used in (distinct, grouped, least):
+        discard(used)
+    return out
+
+
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows, which have ``fp``, with their component; a fingerprint may have any number of rows."""
+    spread = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    return join_hot(rows.withColumn("__deal", spread), groups.drop("n"), ["fp"], hot_keys(groups, ["fp"], "n"), F.col("__deal")).drop("__deal")
 
 
 def hex_of(fp: Column) -> Column:
@@ -122,18 +138,24 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4
     """``doc_id, fingerprint, component_id`` for every row of docs."""
     prints = fingerprints(docs, shingle)
     groups = simhash_groups(prints, distance)
-    return prints.join(groups, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return with_groups(prints, groups).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each component, one that has its component_id; columns as they were."""
+    """docs with one row of each component, one that has its component_id; columns as they were, whatever their names and types.
+
+    Of several such rows it is the one of the least JSON. Rows of an id that no other row has are told by the id alone; those of
+    repeated ids, and without one, by their fingerprints, which are computed again.
+    """
     prints = fingerprints(docs, shingle)
     groups = simhash_groups(prints, distance)
-    stays = prints.join(groups, "fp").groupBy(F.col("doc_id").alias("__kept"))
+    known = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("__id")
+    stays = with_groups(prints, groups).groupBy(known)
     stays = stays.agg(F.count("*").alias("__n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__stays"))
     stays = materialize(stays.where("__stays").drop("__stays"), "stays")  # __n: all rows of the id, whether they stay or not
-    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["__kept"]))  # one plan at every size
-    once = kept.where("__n = 1").select(*docs.columns)
+    rows = packed(docs, known, F.monotonically_increasing_id().alias("__deal"))
+    kept = join_hot(rows, stays, ["__id"], hot_keys(stays, ["__id"], "__n"), F.col("__deal"), hint="merge")  # one plan at every size
+    once = unpacked(kept.where("__n = 1"), docs)
     if not stays.where("__n > 1").head(1):
         return once
 
@@ -141,8 +163,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -
     def again(text: pd.Series) -> pd.Series:
         return text.map(lambda t: fingerprint((t or "").encode(), shingle))
 
-    mine = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__id"))
-    repeated = kept.where("__n > 1").select(*docs.columns, again("text").alias("__fp")).join(mine, "__fp")
-    repeated = repeated.where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    one = repeated.groupBy("__component").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return once.union(one)
+    doc_id = F.col("__packed").getField("doc_id")
+    repeated = kept.where("__n > 1").select("__packed", "__deal", doc_id.alias("doc_id"), again(F.col("__packed").getField("text")).alias("fp"))
+    repeated = with_groups(repeated, groups).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = repeated.groupBy("component").agg(F.min_by("__packed", F.to_json("__packed")).alias("__packed"))
+    return once.union(unpacked(one, docs))
