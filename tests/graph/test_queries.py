@@ -4,7 +4,7 @@ import pytest
 from weftline import queries as Q
 
 PATH = "/root/testdata/sf0.001"
-TABLES = "supplier orders lineitem events".split()
+TABLES = "supplier orders lineitem events nation".split()
 
 
 @pytest.fixture(scope="module")

@@ -50,6 +50,16 @@ def test_a_long_chain_and_a_long_path(spark):
     assert traverse.shortest_path(frame, "n1", "n9", 0).count() == 8
 
 
+def test_chains_of_any_length(spark):
+    rows = [(i, "a", "b", 0, None, "E", "s", 1.0, i - 1 if i > 1 else None) for i in range(1, 20_001)]
+    frame = edges(spark, rows).cache()
+    out = traverse.revision_chain(frame, 20_000).select("edge_id", "position").orderBy("position").collect()
+    assert [(r.edge_id, r.position) for r in out] == [(20_000 - i, i) for i in range(20_000)]
+    loop = edges(spark, [(*r[:8], 900 if r[0] == 1 else r[8]) for r in rows[:1000]])
+    assert [r.edge_id for r in traverse.revision_chain(loop, 500).orderBy("position").collect()] == [*range(500, 0, -1), *range(900, 500, -1)]
+    frame.unpersist()
+
+
 def test_many_points(spark):
     rows = [(1, "a", "b", 0, 5), (2, "a", "b", 3, None), (3, "b", "c", 0, None)]
     points = spark.createDataFrame([("a", 1), ("a", 4), ("a", 9), ("b", 0), ("z", 1)], "ext_id string, at_ns long")

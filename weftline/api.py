@@ -24,7 +24,7 @@ from .operators import diff, temporal, traverse, verify
 from .plans.compiler import Compiler, Result
 from .schema import EDGES, EVENTS, NODES
 from .sources import render
-from .sources.store import CUTS, Store, Version
+from .sources.store import CUTS, META_KEYS, Store, Version
 
 #: A transaction keeps all names in memory if the graph has at most so many nodes; otherwise it looks each one up.
 FEW_NODES = 100_000
@@ -145,10 +145,15 @@ class Snapshot:
         return Edge.of(found[0]) if found else None
 
     def view_edge(self, edge_id: int) -> Edge:
-        found = self.get_edge(edge_id)
-        if found is None:
+        """The edge, if it and both its ends exist."""
+        found = self.edges.where(F.col("edge_id") == edge_id).head(1)
+        if not found:
             raise InternalError(f"edge {edge_id} does not resolve")
-        return found
+        ends = {r.node_id for r in self.nodes.where(F.col("node_id").isin(found[0].from_id, found[0].to_id)).select("node_id").collect()}
+        for side, end in (("from", found[0].from_id), ("to", found[0].to_id)):
+            if end not in ends:
+                raise InternalError(f"dangling {side}: {end}")
+        return Edge.of(found[0])
 
     # frames
 
@@ -212,10 +217,15 @@ class Snapshot:
     def violations(self) -> DataFrame:
         return verify.violations(self.nodes, self.edges, self.log)
 
-    def verify(self) -> VerifyReport:
-        found = [f"{r.check} {r.id}: {r.detail}" for r in self.violations().orderBy("check", "id").collect()]
+    def verify(self, most: int = 1000) -> VerifyReport:
+        """What was checked, and the first ``most`` violations with the number of all; violations() has them as a frame."""
+        missing = [f"meta key missing: {k}" for k in META_KEYS if k not in self.store.read_meta()]
+        rows = self.violations()
+        total = len(missing) + rows.count()
+        found = missing + [f"{r.check} {r.id}: {r.detail}" for r in rows.orderBy("check", "id").limit(most).collect()]
+        found += [f"and {total - len(found)} more"] if total > len(found) else []
         c = self.version.counts
-        lines = ["container open OK", "meta: magic, version, features present", "string interner: skipped, strings are inline", f"nodes: {c['nodes']} records verified", f"edges: {c['edges']} records verified", f"events: {c['log']} entries in strict order" if not any("event" in e for e in found) else "events: see errors", "edges agree with the log" if not any(e.startswith("fold") for e in found) else "edges: see errors", f"total errors: {len(found)}"]
+        lines = ["container open OK", "meta: magic, version, features present" if not missing else "meta: see errors", "string interner: skipped, strings are inline", f"nodes: {c['nodes']} records verified", f"edges: {c['edges']} records verified", f"events: {c['log']} entries in strict order" if not any("event" in e for e in found) else "events: see errors", "edges agree with the log" if not any(e.startswith("fold") for e in found) else "edges: see errors", f"total errors: {total}"]
         return VerifyReport(lines, found)
 
     def compiler(self, strict_for_node: bool = False) -> Compiler:

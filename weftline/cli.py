@@ -13,6 +13,7 @@ from .errors import GraphError, NotFoundError, StorageError
 from .operators.traverse import revision_chain
 from .sources import render
 from .sources.importers import format_of, import_edges
+from .sources.store import Files
 
 
 def demo(db: Db) -> None:
@@ -80,17 +81,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     given = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("weftline").getOrCreate()
     try:
-        db = Db(given.path, spark, create=given.command in ("init", "import", "demo"))
-        if given.command == "init" and db.store.latest():
+        if given.command == "init" and Files(spark, given.path).exists("_meta.json"):
             raise StorageError(f"{given.path} exists")
+        db = Db(given.path, spark, create=given.command in ("init", "import", "demo"))
         if given.command == "query":
             sys.stdout.write(db.query_json(given.query) + "\n" if given.json else db.query_text(given.query))
         elif given.command == "import":
             done = import_edges(db.store, given.file, given.format)
             print(f"Imported {done.count} edges ({format_of(given.file, given.format)})")
-            bad = done.errors.collect()
-            if bad:
-                print(f"{len(bad)} error(s):", *(f"  row {r.number}: {r.error}" for r in bad[:10]), sep="\n", file=sys.stderr)
+            if bad := done.errors.count():
+                print(f"{bad} error(s):", *(f"  row {r.number}: {r.error}" for r in done.errors.limit(10).collect()), sep="\n", file=sys.stderr)
         elif given.command == "stats":
             sys.stdout.write(_stats(db, given.json))
         elif given.command in ("verify", "fsck"):
@@ -110,7 +110,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise NotFoundError(f"edge {given.edge_id} not found")
             sys.stdout.write(render.history_text(rows))
         elif given.command == "dump":
-            sys.stdout.write(render.dump_text(db.read().events_between().collect()))
+            snapshot = db.read()
+            sys.stdout.write(render.dump_text(snapshot.events_between().toLocalIterator(), snapshot.version.counts["log"]))
         elif given.command == "demo":
             demo(db)
             sys.stdout.write(_stats(db, False))

@@ -7,11 +7,12 @@ depth below the number of hops, ordered by their source's depth and path, then b
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written
 from .temporal import as_of
 
 #: Up to so many hops are one lazy plan; beyond, levels are written out so that visited nodes are never expanded again.
@@ -21,19 +22,6 @@ NAMED = 500
 PATH = "array<struct<vf:bigint,id:bigint>>"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        return df.persist()
-    path = f"{folder.rstrip('/')}/weftline/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _start(edges: DataFrame, node: str) -> DataFrame:
     return edges.sparkSession.range(1).select(F.lit(node).alias("node"), F.array().cast(PATH).alias("path"))
 
@@ -69,10 +57,10 @@ def reached(edges: DataFrame, start: str, depth: int, at_ns: int, unrolled: int
             every = every.union(level)
         shortest = every.groupBy("node").agg(F.min(F.struct(F.size("path").alias("depth"), "path")).alias("best"))
         return shortest.select("node", "best.path")
-    level = _cut(_start(edges, start))
+    level = written(_start(edges, start))
     every = level
     for _ in range(depth):
-        level = _cut(_step(slim, level).join(every.select("node"), "node", "left_anti"))
+        level = written(_step(slim, level).join(every.select("node"), "node", "left_anti"))
         if not level.head(1):
             break
         every = every.union(level)
@@ -97,10 +85,10 @@ def shortest_path(edges: DataFrame, source: str, target: str, at_ns: int, longes
     if source == target:
         return none
     slim = _slim(edges, at_ns)
-    level = _cut(_start(edges, source))
+    level = written(_start(edges, source))
     every, depth = level, 0
     while longest is None or depth < longest:
-        level = _cut(_step(slim, level).join(every.select("node"), "node", "left_anti"))
+        level = written(_step(slim, level).join(every.select("node"), "node", "left_anti"))
         depth += 1
         found = level.where(F.col("node") == target).select("path").head(1)
         if found:
@@ -119,19 +107,27 @@ def bounded_path(edges: DataFrame, source: str, target: str, at_ns: int, longest
     return edges.join(best.select("step", F.col("at.id").alias("edge_id")), "edge_id").select(*edges.columns, "step")
 
 
-def revision_chain(edges: DataFrame, edge_id: int, longest: int = 10_000) -> DataFrame:
-    """The edge and the ones it replaces, ``position`` from 0; no row if it does not exist; loops are cut off.
+def revision_chain(edges: DataFrame, edge_id: int) -> DataFrame:
+    """The edge and the ones it replaces, ``position`` from 0; no row if it does not exist; loops are cut off where they close.
 
-    Only the ids of edges that replace another take part in the recursion, from a narrow copy.
+    Only ids of edges that replace another take part, from a narrow copy. A round knows the chain's first 4^r ids and, for every edge,
+    the one 4^r steps on; three joins of the two make the next round's, so a chain of any length takes a logarithm of rounds.
     """
     spark = edges.sparkSession
-    name = f"chain_{uuid.uuid4().hex}"
-    _cut(edges.where("supersedes IS NOT NULL").select("edge_id", "supersedes")).createOrReplaceTempView(name)
-    chain = spark.sql(f"""
-        WITH RECURSIVE chain(edge_id, position, seen) MAX RECURSION LEVEL {longest} AS (
-          SELECT CAST({int(edge_id)} AS BIGINT), 0, array(CAST({int(edge_id)} AS BIGINT))
-          UNION ALL
-          SELECT e.supersedes, position + 1, array_append(seen, e.supersedes)
-          FROM chain c JOIN {name} e ON e.edge_id = c.edge_id WHERE NOT array_contains(seen, e.supersedes))
-        SELECT edge_id, position FROM chain""")
-    return edges.join(chain, "edge_id").select(*edges.columns, "position")
+    jump = written(edges.where("supersedes IS NOT NULL").select("edge_id", F.col("supersedes").alias("to")), "links")
+    known = spark.range(1).select(F.lit(edge_id).cast("long").alias("edge_id"), F.lit(0).cast("long").alias("position"))
+    count, step = 1, 1
+    while True:
+        ahead = [known]
+        for _ in range(3):
+            ahead.append(ahead[-1].join(jump, "edge_id").select(F.col("to").alias("edge_id"), (F.col("position") + step).alias("position")))
+        known = written(reduce(DataFrame.union, ahead).groupBy("edge_id").agg(F.min("position").alias("position")), "chain")
+        step, before, count = 4 * step, count, known.count()
+        if count < 4 * before:  # it ended, or came back to an id it has
+            break
+        far = jump
+        for _ in range(3):
+            far = far.join(jump.select(F.col("edge_id").alias("to"), F.col("to").alias("next")), "to").select("edge_id", F.col("next").alias("to"))
+        old, jump = jump, written(far, "links")
+        discard(old)
+    return edges.join(known, "edge_id").select(*edges.columns, F.col("position").cast("int").alias("position"))

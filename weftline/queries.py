@@ -11,12 +11,16 @@ from .functions.predicates import conjunction
 from .operators import diff, temporal, traverse, verify
 from .plans.compiler import Compiler
 from .schema import EDGES, NODES, PROPS
-from .sources.fixtures import T_NS, event_log, purchase_chains, purchase_log, stored_order_graph
+from .sources.fixtures import T_NS, event_log, order_sequence, purchase_chains, purchase_log, sequence_ends, stored_order_graph
+from .write_queries import SQL as WRITE_SQL
+from .write_queries import QUERIES as WRITE_QUERIES
 
 VIEW = [c for c in EDGES.names if c not in ("from_id", "to_id", "confidence", "supersedes", "props")]
 TEXT_T = "1999-01-01T00:00:00Z"
 #: Bounds for the log, which holds January 2024.
 LOG_FROM, LOG_TO = "2024-01-08T00:00:00Z", "2024-01-22T12:00:00Z"
+#: 2033, when all orders are placed.
+LATE_NS = 2_000_000_000 * 10**9
 LOG_NS = (1_704_672_000 * 10**9, 1_705_924_800 * 10**9)
 _starts: dict[str, tuple[str, str]] = {}
 
@@ -93,6 +97,28 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(traverse.revision_chain(edges, last), "position")
 
 
+def _path_found(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Whether shortest_path() finds a path, and its number of edges; null if there is none."""
+    path = traverse.shortest_path(edges, source, target, T_NS)
+    if path is None:
+        return edges.sparkSession.range(1).select(F.lit(False).alias("found"), F.lit(None).cast("long").alias("steps"))
+    return path.agg(F.count("*").alias("steps")).select(F.lit(True).alias("found"), "steps")
+
+
+def verify_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations by check in the order graph and the log with faults put in: inverted spans, confidences and ids out of place,
+    ends that are no nodes, gaps in the log, and events recorded too early."""
+    key = F.pmod("edge_id", F.lit(1009))
+    edges = stored_order_graph(spark, sf_dir)
+    bad = edges.withColumn("valid_to_ns", F.when(key == 1, F.col("valid_from_ns") - 1).otherwise(F.col("valid_to_ns")))
+    bad = bad.withColumn("confidence", F.when(key == 2, F.lit(1.5)).when(key == 3, F.lit(None)).otherwise(F.col("confidence")).cast("float"))
+    bad = bad.unionByName(edges.where(key == 4))
+    log = event_log(spark, sf_dir).where("event_id % 7 <> 0")
+    log = log.withColumn("recorded_at_ns", (F.col("event_id") - F.when(F.col("event_id") % 501 == 0, 5).otherwise(0)) * 10**9)
+    found = verify.violations(_nodes(spark, sf_dir), bad, log, check_fold=False)
+    return found.groupBy("check").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     hops = lambda h: _on_graph(lambda g, s, _: traverse.n_hops(g, s, h, T_NS))
     at = f' AT "{TEXT_T}"'
@@ -117,8 +143,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hops_limit_bfs_order": _on_graph(lambda g, s, _: temporal.in_order(traverse.n_hops(g, s, 3, T_NS), "depth", "path", limit=25)),
         "shortest_path": _on_graph(lambda g, s, n: traverse.bounded_path(g, s, n, T_NS), "step"),
         "shortest_path_where": _on_graph(lambda g, s, n: traverse.bounded_path(g, s, n, T_NS).where(conjunction([("type", "!=", "CONTAINS")])), "step"),
-        "path_self": _on_graph(lambda g, s, _: traverse.shortest_path(g, s, s, T_NS), "step"),
-        "path_none": _on_graph(lambda g, s, n: traverse.bounded_path(g, n, s, T_NS), "step"),
+        "path_self": lambda spark, d: _path_found(stored_order_graph(spark, d), *[start_of(spark, d)[0]] * 2),
+        "path_none": lambda spark, d: _path_found(stored_order_graph(spark, d), *reversed(start_of(spark, d))),
+        "shortest_path_unbounded": lambda spark, d: view(traverse.shortest_path(order_sequence(spark, d), *sequence_ends(spark, d), LATE_NS), "step"),
+        "hops_6": lambda spark, d: view(traverse.n_hops(order_sequence(spark, d), sequence_ends(spark, d)[0], 6, LATE_NS)),
+        "verify_planted": verify_planted,
         "diff_entries": lambda spark, d: _entries(diff.diff_entries(event_log(spark, d), *LOG_NS)),
         "diff_summary": lambda spark, d: diff.diff_summary(event_log(spark, d), *LOG_NS),
         "what_changed": lambda spark, d: Compiler(stored_order_graph(spark, d), None, event_log(spark, d)).run(f'WHAT CHANGED BETWEEN "{LOG_FROM}" AND "{LOG_TO}" FOR NODE "any"').summary,
@@ -135,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dsl_path": _dsl('SHOW PATH FROM "{start}" TO "{nation}"' + at),
         "dsl_who": _dsl('WHO WAS CONNECTED TO "{nation}" ON "1999-01-01" WHERE valid_to > "2020-01-01"'),
         "dsl_diff": _dsl(f'DIFF GRAPH BETWEEN "{LOG_FROM}" AND "{LOG_TO}"'),
+        **WRITE_QUERIES,
     }
 
 
@@ -163,6 +193,34 @@ _HOPS = "FROM live JOIN reach ON reach.node = from_ext_id WHERE best.depth < {h}
 _COUNT = "SELECT edge_type, count(*) AS n, sum(edge_id % 1000003)::BIGINT AS ids FROM live WHERE {w} GROUP BY edge_type"
 _BOTH = f"SELECT {_VIEW} FROM (SELECT * FROM live WHERE from_ext_id = (SELECT node FROM {{n}}) UNION ALL SELECT * FROM live WHERE to_ext_id = (SELECT node FROM {{n}})) WHERE {{w}}"
 _PATH = f"SELECT {_VIEW}, step::INTEGER AS step FROM (SELECT unnest(best.path).id AS id, unnest(range(len(best.path))) AS step FROM reach WHERE node = (SELECT node FROM nation0)) JOIN g ON id = edge_id"
+#: Walks of any length from the nation; the graph leads nowhere from there.
+_BACK = """walks2(depth, node) AS (
+  SELECT 0, node FROM nation0 UNION SELECT depth + 1, l.to_ext_id FROM walks2 w JOIN live l ON l.from_ext_id = w.node),
+back AS (SELECT node, {'depth': min(depth)} AS best FROM walks2 GROUP BY node),
+"""
+_SEQUENCE = """
+o AS (SELECT o_custkey, o_orderkey, epoch_ns(o_orderdate) AS t, row_number() OVER w AS i, lead(o_orderkey, 1) OVER w AS nx, lead(o_orderkey, 2) OVER w AS af FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+top AS (SELECT arg_min(o_orderkey, {'t': o_orderdate, 'k': o_orderkey}) AS a, max({'t': o_orderdate, 'k': o_orderkey}) AS b FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1),
+e AS (SELECT o_orderkey + 5000000000000000 AS edge_id, o_orderkey AS a, nx AS b, 'NEXT' AS edge_type, t FROM o WHERE nx IS NOT NULL
+      UNION ALL SELECT o_orderkey + 6000000000000000, o_orderkey, af, 'LEAP', t FROM o WHERE af IS NOT NULL AND i % 3 = 1),
+g AS (SELECT edge_id, 'order:' || a AS from_ext_id, 'order:' || b AS to_ext_id, edge_type, t AS valid_from_ns, NULL::BIGINT AS valid_to_ns, t AS observed_at_ns, 'lineitem' AS source, ((edge_id % 101) / 100.0)::FLOAT AS conf FROM e),
+walks(node, path) AS (
+  SELECT 'order:' || a, []::STRUCT(vf BIGINT, id BIGINT)[] FROM top
+  UNION ALL SELECT g.to_ext_id, list_append(path, {'vf': valid_from_ns, 'id': edge_id}) FROM walks w JOIN g ON g.from_ext_id = w.node)
+"""
+_PLANTED = """,
+bad AS (SELECT edge_id, to_ext_id, valid_from_ns, CASE WHEN edge_id % 1009 = 1 THEN valid_from_ns - 1 ELSE valid_to_ns END AS valid_to_ns, CASE edge_id % 1009 WHEN 2 THEN 1.5 WHEN 3 THEN NULL ELSE conf END AS c FROM g
+        UNION ALL SELECT edge_id, to_ext_id, valid_from_ns, valid_to_ns, conf FROM g WHERE edge_id % 1009 = 4),
+l AS (SELECT event_id, (event_id - CASE WHEN event_id % 501 = 0 THEN 5 ELSE 0 END) * 1000000000 AS r FROM events WHERE event_id % 7 <> 0),
+v AS (
+  SELECT 'inverted' AS "check", edge_id AS id FROM bad WHERE valid_to_ns < valid_from_ns
+  UNION ALL SELECT 'confidence', edge_id FROM bad WHERE c IS NULL OR c NOT BETWEEN 0 AND 1
+  UNION ALL SELECT 'edge_id_repeated', edge_id FROM bad GROUP BY edge_id HAVING count(*) > 1
+  UNION ALL SELECT 'to_missing', edge_id FROM bad WHERE to_ext_id LIKE 'nation:%'
+  UNION ALL SELECT 'event_order', event_id FROM (SELECT event_id, r, max(r) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM l) WHERE r < m
+  UNION ALL SELECT 'ext_id_repeated', min(node_id) FROM (SELECT DISTINCT node_id, ext_id FROM (SELECT from_id AS node_id, from_ext_id AS ext_id FROM g UNION ALL SELECT to_id, to_ext_id FROM g) WHERE ext_id NOT LIKE 'nation:%') GROUP BY ext_id HAVING count(*) > 1
+  UNION ALL SELECT 'node_id_repeated', node_id FROM (SELECT DISTINCT node_id, ext_id FROM (SELECT from_id AS node_id, from_ext_id AS ext_id FROM g UNION ALL SELECT to_id, to_ext_id FROM g) WHERE ext_id NOT LIKE 'nation:%') GROUP BY node_id HAVING count(*) > 1)
+SELECT "check", count(*) AS n, min(id) AS least, max(id) AS most FROM v GROUP BY 1"""
 _KIND = "CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 WHEN 'click' THEN 5 ELSE 6 END"
 _LOG = f"log AS (SELECT event_id, epoch_ns(ts) AS at_ns, {_KIND} AS k, user_id FROM events WHERE epoch_ns(ts) BETWEEN {LOG_NS[0]} AND {LOG_NS[1]})"
 _ENTRIES = f"WITH {_LOG} SELECT CASE k WHEN 1 THEN 'node_added' WHEN 3 THEN 'edge_added' WHEN 4 THEN 'edge_invalidated' WHEN 5 THEN 'edge_superseded' ELSE 'property_set' END AS kind, at_ns, event_id FROM log"
@@ -216,8 +274,11 @@ def oracle_sql() -> dict[str, str]:
         "hops_limit_bfs_order": hops(3, tail="ORDER BY best.depth, best.path, valid_from_ns, edge_id LIMIT 25"),
         "shortest_path": graph(_PATH),
         "shortest_path_where": graph(f"SELECT * FROM ({_PATH}) WHERE edge_type <> 'CONTAINS'"),
-        "path_self": graph(f"SELECT {_VIEW}, 0 AS step FROM g WHERE false"),
-        "path_none": graph(f"SELECT {_VIEW}, 0 AS step FROM g WHERE false"),
+        "path_self": graph("SELECT count(*) > 0 AS found, min(best.depth)::BIGINT AS steps FROM reach WHERE node = (SELECT node FROM start)"),
+        "path_none": graph("SELECT count(*) > 0 AS found, min(best.depth)::BIGINT AS steps FROM reach WHERE node = (SELECT node FROM start)".replace("reach", "back")).replace("reach AS (", _BACK + "reach AS ("),
+        "shortest_path_unbounded": f"WITH RECURSIVE {_SEQUENCE} SELECT {_VIEW}, step::INTEGER AS step FROM (SELECT unnest(best).id AS id, unnest(range(len(best))) AS step FROM (SELECT arg_min(path, {{'n': len(path), 'path': path}}) AS best FROM walks WHERE node = (SELECT 'order:' || b.k FROM top))) JOIN g ON id = edge_id",
+        "hops_6": f"WITH RECURSIVE {_SEQUENCE} SELECT DISTINCT {_VIEW} FROM g JOIN walks ON node = from_ext_id WHERE len(path) < 6",
+        "verify_planted": f"WITH RECURSIVE {_GRAPH}{_PLANTED}",
         "diff_entries": _ENTRIES,
         "diff_summary": _SUMMARY,
         "what_changed": _SUMMARY,
@@ -234,4 +295,5 @@ def oracle_sql() -> dict[str, str]:
         "dsl_path": graph(f"SELECT * EXCLUDE (step) FROM ({_PATH})"),
         "dsl_who": both("nation0", "coalesce(valid_to_ns, 9223372036854775807) > 1577836800::BIGINT * 1000000000"),
         "dsl_diff": _ENTRIES,
+        **WRITE_SQL,
     }

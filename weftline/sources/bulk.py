@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ from .store import Store, Version
 PARTITION_BITS = 33
 
 
-def numbered(store: Store, df: DataFrame, name: str, first: int = 0, order: str | None = None) -> DataFrame:
-    """df with a dense number from ``first`` on, in its own order or that of a column; only counts by partition meet."""
+def numbered(store: Store, df: DataFrame, name: str, folder: str, first: int = 0, order: str | None = None) -> DataFrame:
+    """df with a dense number from ``first`` on, in its own order or that of a column; only counts by partition meet. What it
+    writes goes to ``folder`` of the store's scratch space."""
     if order:
         df = df.repartitionByRange(order).sortWithinPartitions(order)
-    scratch = f"{store.files.root}/data/.scratch/{name}-{id(df):x}-{now_ns():x}"
+    scratch = f"{store.files.root}/data/.scratch/{folder}/{name}"
     df.withColumn("__m", F.monotonically_increasing_id()).write.parquet(scratch)
     held = store.spark.read.parquet(scratch).withColumn("__p", F.shiftright("__m", PARTITION_BITS))
     counts = held.groupBy("__p").agg(F.count("*").alias("n"))
@@ -44,18 +47,25 @@ def bulk_add_edges(store: Store, rows: DataFrame, base: Version | None = None, p
 
     With parity, the ends of rows that have all names but are no valid edges otherwise become nodes all the same, and use up an edge id.
     """
-    base = store.version() if base is None else base
+    folder = uuid.uuid4().hex
+    try:
+        return _add_edges(store, rows, store.version() if base is None else base, parity, clock, streams, folder)
+    finally:  # its own only: other writers have theirs
+        store.files.remove(f"data/.scratch/{folder}")
+
+
+def _add_edges(store: Store, rows: DataFrame, base: Version, parity: bool, clock, streams: dict[str, int] | None, folder: str) -> Version:
     at = max(base.recorded_at_ns, clock())
     if "props" not in rows.columns:
         rows = rows.withColumn("props", F.create_map().cast(PROPS))
     reason = problem()
     rows = rows.withColumn("__bad", reason)
     named = (F.coalesce("from", F.lit("")) != "") & (F.coalesce("to", F.lit("")) != "") & (F.coalesce("edge_type", F.lit("")) != "")
-    placed = numbered(store, rows.where(F.col("__bad").isNull() | (named if parity else F.lit(False))), "ord")
+    placed = numbered(store, rows.where(F.col("__bad").isNull() | (named if parity else F.lit(False))), "ord", folder)
     ends = placed.select(F.col("from").alias("ext_id"), (F.col("ord") * 3).alias("pos")).union(placed.select(F.col("to").alias("ext_id"), (F.col("ord") * 3 + 1).alias("pos")))
     known = store.read("nodes", base).select("ext_id", "node_id")
     new = ends.groupBy("ext_id").agg(F.min("pos").alias("pos")).join(known.select("ext_id"), "ext_id", "left_anti")
-    new = numbered(store, new, "node_id", base.last["node"] + 1, "pos")
+    new = numbered(store, new, "node_id", folder, base.last["node"] + 1, "pos")
     nodes = new.select("node_id", "ext_id", F.lit(None).cast("string").alias("node_type"), F.lit(at).alias("created_at_ns"), F.create_map().cast(PROPS).alias("props"), "pos")
     ids = known.union(nodes.select("ext_id", "node_id"))
     good = placed.where("__bad is null")
@@ -69,11 +79,10 @@ def bulk_add_edges(store: Store, rows: DataFrame, base: Version | None = None, p
     none = F.lit(None)
     added = nodes_at.join(new.select("node_id", "pos"), "node_id").select("pos", F.lit(1).alias("kind"), F.struct(*NODES.names).alias("node"), none.cast(EDGES).alias("edge"))
     seen = edges_at.select(((F.col("edge_id") - base.last["edge"] - 1) * 3 + 2).alias("pos"), F.lit(3).alias("kind"), none.cast(NODES).alias("node"), F.struct(*EDGES.names).alias("edge"))
-    log = numbered(store, added.union(seen), "event_id", base.last["event"] + 1, "pos")
+    log = numbered(store, added.union(seen), "event_id", folder, base.last["event"] + 1, "pos")
     log = log.select("event_id", F.lit(at).alias("recorded_at_ns"), "kind", "node", "edge", *(none.cast("long").alias(c) for c in EVENTS.names[5:]))
     staged["log"] = store.stage("log", log)
     n_nodes, n_edges, n_ids = nodes_at.count(), edges_at.count(), placed.count()
-    store.files.remove("data/.scratch")
     if store.latest() != base.number:
         raise StorageError(f"another writer has committed version {base.number + 1}")
     last = {"node": base.last["node"] + n_nodes, "edge": base.last["edge"] + n_ids, "event": base.last["event"] + n_nodes + n_edges}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import timestamp_ns
 from ..schema import EDGES, EVENTS, NODES, PROPS
+from .scratch import exists, scratch_folder
 
 #: 1999-01-01, within the span of the orders.
 T_NS = 915_148_800 * 1_000_000_000
@@ -59,20 +60,34 @@ def stored_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     The copy is in the shared folder and belongs to this session and to these input files, by size and time; scans of it prune
     by node and instant, which the derived columns of the plain tables cannot.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return order_graph(spark, sf_dir)
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     held = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)))
-    key = (spark.sparkContext.applicationId, folder, held)
-    if key not in _stored:
-        at = f"{folder.rstrip('/')}/weftline/graph-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
+    key = (folder, held)
+    if key not in _stored or not exists(spark, _stored[key]):
+        at = f"{folder}/graph-{uuid.uuid4().hex}"
         order_graph(spark, sf_dir).repartitionByRange("from_ext_id").sortWithinPartitions("from_ext_id", "valid_from_ns").write.parquet(at)
         _stored[key] = at
     return spark.read.schema(EDGES).parquet(_stored[key])
 
 
+def order_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in order of time: an edge from each to the next, and from every third one also to the one after that."""
+    row = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", timestamp_ns(F.col("o_orderdate")).alias("placed"), F.row_number().over(row).alias("i"), F.lead("o_orderkey", 1).over(row).alias("next"), F.lead("o_orderkey", 2).over(row).alias("after"))
+    steps = _edges(orders.where("next is not null"), F.col("o_orderkey") + 5 * 10**15, "NEXT", ("order", "o_orderkey"), ("order", "next"), F.col("placed"))
+    leaps = _edges(orders.where("after is not null and i % 3 = 1"), F.col("o_orderkey") + 6 * 10**15, "LEAP", ("order", "o_orderkey"), ("order", "after"), F.col("placed"))
+    return steps.union(leaps)
+
+
+def sequence_ends(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The first and the last order of the customer with most orders, the least key first."""
+    at = F.struct("o_orderdate", "o_orderkey")
+    best = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b")).orderBy(F.desc("n"), "o_custkey").first()
+    return f"order:{best.a.o_orderkey}", f"order:{best.b.o_orderkey}"
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of EVENTS columns from events, a kind for each type; targets are the users."""
     kinds = {"signup": 1, "purchase": 3, "error": 4, "click": 5, "view": 6}

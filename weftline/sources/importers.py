@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import now_ns, parse_ns_column
@@ -21,15 +21,18 @@ def format_of(path: str, given: str | None = None) -> str:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, number`` of all lines that are not blank, numbered from 1 within their file if it is read in one piece."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r\n", "\n"), "\n")).alias("at", "line"))
-    return each.select((F.col("at") + 1).alias("number"), F.trim("line").alias("line")).where("line <> ''")
+    """``line, number`` of all lines that are not blank, numbered from 1 within their file, in the order of files and lines.
 
-
-def _unordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same of files of any size, split over tasks; numbers only grow."""
-    return spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("number"), F.trim("value").alias("line")).where("line <> ''")
+    Large files are split over tasks: a line's number is that within its split, plus the lines of the splits before, which are
+    counted first. The table of counts has a row for each split and is broadcast; a hundred thousand splits are some megabytes.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    each = spark.read.text(path, lineSep="\n").select("value", *split, F.monotonically_increasing_id().alias("id"))
+    counts = each.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    offsets = counts.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    held = each.join(F.broadcast(offsets), ["file", "block"])
+    return held.select((F.col("id") + F.col("shift")).alias("number"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("line")).where("line <> ''")
 
 
 def _time(text: Column, default: Column) -> Column:
@@ -115,15 +118,14 @@ class Imported:
     errors: DataFrame  # number, error
 
 
-def import_edges(store: Store, path: str, given: str | None = None, now: int | None = None, split_files: bool = False, parity: bool = False) -> Imported:
+def import_edges(store: Store, path: str, given: str | None = None, now: int | None = None, parity: bool = False) -> Imported:
     """Import a file, or folder of files, as one commit: bad rows do not stop good ones.
 
-    A CSV's first line is a header if it starts with from. Files are numbered line by line unless split_files lets Spark
-    split large ones.
+    A CSV's first line is a header if it starts with from. Files of any size are split over tasks.
     """
     now = now_ns() if now is None else now
     kind = format_of(path, given)
-    lines = (_unordered_lines if split_files else _lines)(store.spark, path)
+    lines = _lines(store.spark, path)
     if kind == "csv":
         header = F.startswith("line", F.lit("from,")) | F.startswith("line", F.lit('"from"'))
         lines = lines.where(~(header & (F.col("number") == 1)))

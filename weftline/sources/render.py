@@ -124,5 +124,6 @@ def history_text(rows: Iterable) -> str:
     return "".join(f"{'→ ' if i == 0 else '  '}[e{e['edge_id']}] {e['from_ext_id']:<10} -[{e['edge_type']}]-> {e['to_ext_id']:<10}  valid_from={format_ns(e['valid_from_ns'])}  src={e['source'] or '-'}  conf={e['confidence']:.2f}\n" for i, e in enumerate(rows))
 
 
-def dump_text(rows: list) -> str:
-    return f"events: {len(rows)}\n" + "".join(f"  [{'ev' + str(e['event_id']):>6}] @{format_ns(e['recorded_at_ns'])}  kind={EVENT_NAMES[e['kind']]}\n" for e in rows)
+def dump_text(rows, total: int) -> str:
+    """rows: any iterable of events; total: their number."""
+    return f"events: {total}\n" + "".join(f"  [{'ev' + str(e['event_id']):>6}] @{format_ns(e['recorded_at_ns'])}  kind={EVENT_NAMES[e['kind']]}\n" for e in rows)

@@ -24,6 +24,7 @@ from ..errors import FormatError, NotFoundError, StorageError
 from ..schema import EDGES, EVENTS, NODES
 
 MAGIC, VERSION = "weftline-graph", 1
+META_KEYS = ("magic", "format_version", "writer_version", "required_features")
 CUTS = T.StructType([T.StructField("edge_id", T.LongType()), T.StructField("at_ns", T.LongType())])
 #: edges_in is a second copy of the edges that compact() wrote, by the node they enter.
 TABLES = {"nodes": NODES, "edges": EDGES, "edges_in": EDGES, "cuts": CUTS, "log": EVENTS}
@@ -98,7 +99,7 @@ class Store:
                 raise FormatError(f"{root} is not a graph")
             if not create:
                 raise NotFoundError(f"no graph at {root}")
-            self.files.create("_meta.json", json.dumps({"magic": MAGIC, "format_version": VERSION, "required_features": []}))
+            self.files.create("_meta.json", json.dumps({"magic": MAGIC, "format_version": VERSION, "writer_version": VERSION, "required_features": []}))
         try:
             self.meta = json.loads(self.files.read("_meta.json"))
         except ValueError:
@@ -108,6 +109,14 @@ class Store:
         if self.meta.get("format_version", VERSION + 1) > VERSION or self.meta.get("required_features"):
             raise FormatError(f"{root} was written by a later version")
 
+    def read_meta(self) -> dict:
+        """The meta file as it is now."""
+        try:
+            found = json.loads(self.files.read("_meta.json"))
+        except ValueError:
+            return {}
+        return found if isinstance(found, dict) else {}
+
     def latest(self) -> int:
         names = [n for n in self.files.names("commits") if n.endswith(".json")]
         return int(names[-1][:-5]) if names else 0
