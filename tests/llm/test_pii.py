@@ -137,7 +137,7 @@ def test_discovery_on_planted_contexts(spark):
     rows, want = [], set()
     for i in range(600):
         kind = r.choice(list(lead))
-        planted = r.random() < 0.5
+        planted = r.random() < 0.12
         rows.append((i, f"{prose(8)} {lead[kind]} {(odd if planted else good)[kind]()} {prose(8)} {odd[kind]() if i % 3 == 0 else ''} {prose(4)}"))
         want |= {i} if planted else set()
     got = {x.doc_id: x.n_found for x in personal_data(documents(spark, rows)).collect()}

@@ -34,7 +34,7 @@ BASE = {
 SECRETS = {"secret": r"""(?<=[A-Za-z0-9_]\x20{0,3}[=:]\x20{0,3}["'])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}+(?=["'])"""}
 CANDIDATES = {
     "address": r"(?<![^\s@])[^\s@]++@[^\s@,;]++",
-    "number": r"(?<![0-9A-Za-z])[(+]?[0-9]++(?:[\x20().:-]{1,2}[0-9]++)*+",
+    "number": r"(?<![0-9A-Za-z])[(+]?[0-9]++(?:[\x20().:-]{1,2}[0-9]++)*+(?![0-9A-Za-z])",
     "code": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{8,}+",
 }
 ADDRESS, NUMBER, CODE = range(len(ALL), len(ALL) + 3)
@@ -100,18 +100,14 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _apart(spans: DataFrame) -> DataFrame:
-    """Base spans, and of the others those that overlap none of their row; then candidates that overlap no span of a kind."""
-
-    def free(rows: DataFrame, below: int) -> DataFrame:
-        fixed = F.col("k") < below
-        upto = Window.partitionBy("rid").rowsBetween(Window.unboundedPreceding, 0)  # growing frames, both; a shrinking one is quadratic
-        before = F.max(F.when(fixed, F.col("end"))).over(upto.orderBy("start", "k"))
-        after = F.min(F.when(fixed, F.col("start"))).over(upto.orderBy(F.desc("start"), F.desc("k")))
-        held = rows.withColumn("__before", before).withColumn("__after", after)
-        clear = (F.coalesce("__before", F.lit(0)) <= F.col("start")) & (F.col("__after").isNull() | (F.col("__after") >= F.col("end")))
-        return held.where(fixed | clear).drop("__before", "__after")
-
-    return free(free(spans, len(KINDS)), len(ALL))
+    """Seeds, and the candidates that overlap none of their row. A secret may hold a base match; both stay."""
+    seed = F.col("k") < len(ALL)
+    upto = Window.partitionBy("rid").rowsBetween(Window.unboundedPreceding, 0)  # growing frames, both; a shrinking one is quadratic
+    before = F.max(F.when(seed, F.col("end"))).over(upto.orderBy("start", "k"))
+    after = F.min(F.when(seed, F.col("start"))).over(upto.orderBy(F.desc("start"), F.desc("k")))
+    held = spans.withColumn("__before", before).withColumn("__after", after)
+    clear = (F.coalesce("__before", F.lit(0)) <= F.col("start")) & (F.col("__after").isNull() | (F.col("__after") >= F.col("end")))
+    return held.where(seed | clear).drop("__before", "__after")
 
 
 def _words(text: Column) -> Column:
