@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.api import Db, EdgeInput, NodeInput, Snapshot
 from weftline.cli import demo, main, repl
@@ -18,6 +19,7 @@ def ids(result):
 @pytest.fixture(scope="module")
 def thesis(spark, tmp_path_factory):
     db = Db(str(tmp_path_factory.mktemp("g") / "thesis"), spark)
+    # fixed values: the scenario that the golden answers below belong to
     with db.write() as w:
         for a, kind, b, start, end, source, confidence in [
             ("alice", "WORKS_AT", "Acme", "2026-01-01", None, "hr", 1.0),
@@ -239,3 +241,44 @@ def test_instants():
     from weftline.api import instant
 
     assert instant("2026-01-01") == parse_ns("2026-01-01") and instant(5) == 5 and instant(None, lambda: 7) == 7
+
+
+def test_viewing_an_edge_checks_its_ends(spark, tmp_path):
+    db = Db(str(tmp_path / "g"), spark)
+    with db.write() as w:
+        w.add_edge("a", "b", "T", valid_from=0)
+    s = db.read()
+    assert s.view_edge(1).to_id == "b"
+    with pytest.raises(InternalError):
+        s.view_edge(9)
+    s.nodes = s.nodes.where("ext_id <> 'b'")
+    with pytest.raises(InternalError, match="dangling to"):
+        s.view_edge(1)
+
+
+def test_verify_looks_at_meta_keys_and_gaps(spark, tmp_path):
+    db = Db(str(tmp_path / "g"), spark)
+    with db.write() as w:
+        for i in range(5):
+            w.add_edge(f"n{i}", "m", "T", valid_from=i)
+    s = db.read()
+    assert s.verify().errors == [] and "meta: magic, version, features present" in s.verify().lines
+    meta = tmp_path / "g" / "_meta.json"
+    text = meta.read_text()
+    held = json.loads(text)
+    del held["writer_version"]
+    meta.unlink()
+    (tmp_path / "g" / "._meta.json.crc").unlink(missing_ok=True)
+    meta.write_text(json.dumps(held))
+    assert s.verify().errors == ["meta key missing: writer_version"] and "meta: see errors" in s.verify().lines
+    s.log = s.log.where("event_id not in (2, 3, 4)")
+    late = s.log.where("event_id = 1").withColumn("recorded_at_ns", F.col("recorded_at_ns") + 10**15)
+    s.log = s.log.where("event_id > 1").unionByName(late)
+    assert sum(e.startswith("event_order") for e in s.verify().errors) == s.log.count() - 1
+    assert s.verify(most=2).errors[-1].startswith("and ")
+
+
+def test_init_refuses_any_graph(spark, tmp_path, capsys):
+    path = str(tmp_path / "g")
+    assert main(["init", path], spark) == 0 and main(["init", path], spark) == 1
+    assert "exists" in capsys.readouterr().err

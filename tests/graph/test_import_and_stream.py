@@ -90,3 +90,26 @@ def test_streams(spark, tmp_path):
     query.awaitTermination()
     total = spark.table("counts").agg(F.sum("edges_added").alias("e"), F.sum("nodes_added").alias("n")).first()
     assert total.e >= 22 and total.n >= 12
+
+
+def test_split_files_are_numbered_by_file(spark, tmp_path):
+    """Lines keep their numbers and their order when a file is cut into many splits."""
+    lines = ["from,to,edge_type,valid_from"] + [f"n{i},m,T,{'soon' if i % 100 == 7 else '2026-01-01'}" + ("\r" if i % 3 else "") for i in range(4000)]
+    lines.insert(1500, "")
+    (tmp_path / "e.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "e.csv")).rdd.getNumPartitions() > 8
+        db = Db(str(tmp_path / "g"), spark)
+        done = import_edges(db.store, str(tmp_path / "e.csv"), now=NOW)
+        bad = [r.number for r in done.errors.collect()]
+        names = [r.from_ext_id for r in db.read().all_edges().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    good = [i for i, x in enumerate(lines) if i and x and "soon" not in x]
+    assert bad == [i + 1 for i, x in enumerate(lines) if "soon" in x]
+    assert names == [lines[i].split(",")[0] for i in good] and done.count == len(good)
+    assert not (tmp_path / "g" / "data" / ".scratch").exists() or not list((tmp_path / "g" / "data" / ".scratch").iterdir())

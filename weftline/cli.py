@@ -16,27 +16,55 @@ from .sources.importers import format_of, import_edges
 from .sources.store import Files
 
 
+# ------------------------------------------------------------------------------------------------------------
+# The demonstration graph. Kinds of nodes; then edges as source, target, type, start, source, confidence, in the
+# order they are written: first ones, the one that supersedes carol's report, the end of alice's work, later ones. Edges are
+# observed when they start.
+DEMO_NODES = {"person": ("alice", "bob", "carol", "dan", "eve", "frank"), "org": ("acme", "beta_labs"), "project": ("pluto", "quasar")}
+DEMO_FIRST = (
+    ("alice", "acme", "WORKS_AT", "2026-01-15T09:00:00Z", "hr", 1.0),
+    ("bob", "acme", "WORKS_AT", "2026-01-15T09:00:00Z", "hr", 1.0),
+    ("carol", "acme", "WORKS_AT", "2026-01-15T09:00:00Z", "hr", 1.0),
+    ("dan", "acme", "WORKS_AT", "2026-01-15T09:00:00Z", "hr", 1.0),
+    ("bob", "alice", "REPORTS_TO", "2026-01-20T09:00:00Z", "hr", 1.0),
+    ("carol", "alice", "REPORTS_TO", "2026-01-20T09:00:00Z", "hr", 1.0),
+    ("alice", "bob", "WORKS_WITH", "2026-01-25T14:00:00Z", "slack", 0.85),
+    ("alice", "carol", "WORKS_WITH", "2026-01-25T14:00:00Z", "slack", 0.85),
+    ("bob", "carol", "WORKS_WITH", "2026-01-25T14:00:00Z", "slack", 0.85),
+    ("carol", "dan", "WORKS_WITH", "2026-01-25T14:00:00Z", "slack", 0.85),
+    ("eve", "acme", "WORKS_AT", "2026-02-10T09:00:00Z", "hr", 1.0),
+    ("eve", "alice", "REPORTS_TO", "2026-02-10T09:00:00Z", "hr", 1.0),
+)
+DEMO_SUPERSEDED = ("carol", "bob", "REPORTS_TO", "2026-03-01T09:00:00Z", "hr", 1.0)
+DEMO_ENDED = "2026-03-15T17:00:00Z"
+DEMO_LATER = (
+    ("alice", "beta_labs", "WORKS_AT", "2026-03-16T09:00:00Z", "linkedin", 0.95),
+    ("alice", "pluto", "WORKS_ON", "2026-04-01T10:00:00Z", "github", 0.99),
+    ("bob", "pluto", "WORKS_ON", "2026-04-01T10:00:00Z", "github", 0.99),
+    ("carol", "pluto", "WORKS_ON", "2026-04-01T10:00:00Z", "github", 0.99),
+    ("frank", "acme", "WORKS_AT", "2026-04-05T10:00:00Z", "hr", 1.0),
+    ("dan", "quasar", "WORKS_ON", "2026-04-05T10:00:00Z", "github", 0.99),
+    ("frank", "quasar", "WORKS_ON", "2026-04-05T10:00:00Z", "github", 0.99),
+)
+# ------------------------------------------------------------------------------------------------------------
+
+
 def demo(db: Db) -> None:
     """Ten people, organisations and projects over some months, with an invalidated and a superseded edge."""
+
+    def given(edge: tuple) -> EdgeInput:
+        source, target, kind, at, told_by, confidence = edge
+        return EdgeInput(source, target, kind, at, None, at, told_by, confidence)
+
     with db.write() as w:
-        for kind, names in (("person", "alice bob carol dan eve frank"), ("org", "acme beta_labs"), ("project", "pluto quasar")):
-            for name in names.split():
+        for kind, names in DEMO_NODES.items():
+            for name in names:
                 w.upsert_node(name, kind)
-
-        def add(pairs: str, edge_type: str, at: str, source: str, confidence: float = 1.0) -> list[int]:
-            return [w.add_edge(*pair.split(">"), edge_type, valid_from=at, observed_at=at, source=source, confidence=confidence) for pair in pairs.split()]
-
-        works = add("alice>acme bob>acme carol>acme dan>acme", "WORKS_AT", "2026-01-15T09:00:00Z", "hr")
-        reports = add("bob>alice carol>alice", "REPORTS_TO", "2026-01-20T09:00:00Z", "hr")
-        add("alice>bob alice>carol bob>carol carol>dan", "WORKS_WITH", "2026-01-25T14:00:00Z", "slack", 0.85)
-        add("eve>acme", "WORKS_AT", "2026-02-10T09:00:00Z", "hr")
-        add("eve>alice", "REPORTS_TO", "2026-02-10T09:00:00Z", "hr")
-        w.supersede_edge(reports[1], EdgeInput("carol", "bob", "REPORTS_TO", "2026-03-01T09:00:00Z", None, "2026-03-01T09:00:00Z", "hr"))
-        w.invalidate_edge(works[0], "2026-03-15T17:00:00Z")
-        add("alice>beta_labs", "WORKS_AT", "2026-03-16T09:00:00Z", "linkedin", 0.95)
-        add("alice>pluto bob>pluto carol>pluto", "WORKS_ON", "2026-04-01T10:00:00Z", "github", 0.99)
-        add("frank>acme", "WORKS_AT", "2026-04-05T10:00:00Z", "hr")
-        add("dan>quasar frank>quasar", "WORKS_ON", "2026-04-05T10:00:00Z", "github", 0.99)
+        made = {edge[:3]: w.add_edge(given(edge)) for edge in DEMO_FIRST}
+        w.supersede_edge(made["carol", "alice", "REPORTS_TO"], given(DEMO_SUPERSEDED))
+        w.invalidate_edge(made["alice", "acme", "WORKS_AT"], DEMO_ENDED)
+        for edge in DEMO_LATER:
+            w.add_edge(given(edge))
 
 
 def _stats(db: Db, as_json: bool) -> str:

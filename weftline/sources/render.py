@@ -1,4 +1,7 @@
-"""Results as text and as single-line JSON; rows are those of a result, gathered by the caller who asks for text."""
+"""Results as text and as single-line JSON; rows are those of a result, gathered by the caller who asks for text.
+
+The wording and the layout of lines are fixed values: programs read them.
+"""
 
 from __future__ import annotations
 
