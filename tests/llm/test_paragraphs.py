@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, documents, with_clash
-from weftline.llm.paragraphs import SHINGLE, Sequence, Words, band_keys, common_passages, cut_words, jaccard, merged, numbered_words, repeated_spans, shingle_codes, sliding_least, tuned_window, without_repeats
+from weftline.llm.paragraphs import SHINGLE, Sequence, Words, band_keys, common_passages, cut_words, merged, numbered_words, repeated_spans, shingle_codes, sliding_least, tuned_window, without_repeats
 
 WINDOW, LEAST = 24, 30
 
@@ -81,10 +81,27 @@ def test_equal_paragraphs_have_equal_keys(docs, window):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(0, 1))
-def test_jaccard_is_exact(x, y, big):
-    x, y = [v + big * 10**15 for v in x], [v + big * 10**15 for v in y]
-    u, v = shingle_codes(np.array(x, dtype=np.int64) % 10**6, np.array(y, dtype=np.int64) % 10**6)
-    assert jaccard(u, v) == pytest.approx(similarity([a % 10**6 for a in x], [a % 10**6 for a in y]))
+def test_codes_are_those_of_the_words(x, y, big):
+    x, y = [v + big * 10**6 for v in x], [v + big * 10**6 for v in y]
+    u, v = shingle_codes(np.array(x, dtype=np.int64), np.array(y, dtype=np.int64))
+    held = [tuple(w[i : i + SHINGLE]) for w in (x, y) for i in range(len(w) - SHINGLE + 1)]
+    codes = [*u.tolist(), *v.tolist()]
+    assert len(codes) == len(held) and len(set(codes)) == len(set(held)) == len(set(zip(codes, held)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(60, 200), st.integers(1, 6))
+def test_passages_have_the_similarity_asked_for(seed, n, edits):
+    r = random.Random(seed)
+    base = prose(r, n).split()
+    near = list(base)
+    for at in r.sample(range(len(near)), edits):
+        near[at : at + 1] = r.choice([["changed"], ["two", "words"], []])
+    a, b = prose(r, 40).split() + base + prose(r, 40).split(), prose(r, 70).split() + near + prose(r, 10).split()
+    x, y = numbered_words(" ".join(a).encode(), " ".join(b).encode())
+    lines = [(i, i, j - i) for i in range(len(a) - 24) for j in range(len(b) - 24) if a[i : i + 24] == b[j : j + 24]]
+    for p, q, c, d in common_passages(x, y, lines, 0.8, 30, 12):
+        assert similarity(a[p:q], b[c:d]) >= 0.8 and q - p >= 29 and a[p : p + 5] == b[c : c + 5] and a[q - 5 : q] == b[d - 5 : d]
 
 
 def test_passages_grow_over_changed_words():

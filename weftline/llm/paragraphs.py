@@ -215,7 +215,7 @@ def segments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def shingle_codes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each shingle of two sequences of word numbers, the same for the same words."""
+    """A number for each shingle of two sequences of word numbers, from 0 on without gaps, the same for the same words."""
     both = np.concatenate((x, [-1] * SHINGLE, y)).astype(np.int64) + 1
     top = int(both.max()) + 1
     code = both
@@ -223,23 +223,20 @@ def shingle_codes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if int(code.max()) >= (1 << 62) // top:
             code = np.unique(code, return_inverse=True)[1].astype(np.int64)
         code = code[:-1] * top + both[j:]
+    code = np.unique(code, return_inverse=True)[1]
     return code[: max(0, len(x) - SHINGLE + 1)], code[len(x) + SHINGLE :]
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of the sets of two arrays."""
-    x, y = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def equal_pieces(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]], start: int) -> list[tuple[int, int, int]]:
+    """Pieces of at least a shingle of equal words near lines (first, last, shift): (begin, end, shift), to their full length.
 
-
-def equal_pieces(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Pieces of at least a shingle of equal words near lines (first, last, shift): (begin, end, shift), to their full length."""
+    A line is passed over if all words up to ``start`` beside it are in pieces already.
+    """
     found: set[tuple[int, int, int]] = set()
     seen = np.zeros(len(x), dtype=bool)
     for first, last, shift in lines:
         low, high = max(0, -shift), min(len(x), len(y) - shift)
-        if high - low < SHINGLE or seen[max(0, first) : last + SHINGLE].all():
+        if high - low < SHINGLE or seen[max(0, first - start) : last + SHINGLE + start].all():
             continue
         a, b, reach = max(low, first - CELL), min(high, last + SHINGLE + CELL), CELL
         while True:  # as long as equal words go on beyond what was looked at
@@ -260,83 +257,101 @@ def equal_pieces(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]]
 def common_passages(x: np.ndarray, y: np.ndarray, lines: list[tuple[int, int, int]], similarity: float, least: int, start: int) -> list[tuple[int, int, int, int]]:
     """Passages of two sequences of word numbers, as (begin, end, begin, end), that are alike: from the longest equal piece on, of
     ``start`` words or more, the next ones to the left and right are taken in while the exact Jaccard similarity of the whole stays high enough."""
-    left = equal_pieces(x, y, lines)
+    left = equal_pieces(x, y, lines, 2 * start)
     if not left:
         return []
     u, v = shingle_codes(x, y)
-    out = []
     if any(p > 0 and s + p > 0 or q < len(x) and q + s < len(y) for p, q, s in left):  # shorter pieces beside, moved by words left out
-        known, where = np.unique(v, return_index=True)
         near = np.zeros(len(u), dtype=bool)
         for p, q, _ in left:
             near[max(0, p - (q - p) - SHINGLE) : q + (q - p) + SHINGLE] = True
         for p, q, _ in left:
             near[p : q - SHINGLE + 1] = False
         at = np.flatnonzero(near)
-        to = np.minimum(np.searchsorted(known, u[at]), max(0, len(known) - 1))
-        hit = known[to] == u[at]
-        more = [(i, i, j - i) for i, j in zip(at[hit].tolist(), where[to[hit]].tolist(), strict=True)]
-        left = sorted({*left, *equal_pieces(x, y, more)})
-
-    def alike(a: int, b: int, c: int, d: int) -> bool:
-        return jaccard(u[a : b - SHINGLE + 1], v[c : d - SHINGLE + 1]) >= similarity
-
-    while left:
-        a, b, shift = max(left, key=lambda p: (p[1] - p[0], -p[0]))
+        where = np.full(int(max(u.max(), v.max())) + 1, -1)
+        where[v[::-1]] = np.arange(len(v))[::-1]
+        to = where[u[at]]
+        more = [(i, i, j - i) for i, j in zip(at[to >= 0].tolist(), to[to >= 0].tolist(), strict=True)]
+        left = sorted({*left, *equal_pieces(x, y, more, 0)}) if more else left
+    out = []
+    ul, vl = u.tolist(), v.tolist()
+    for a, b, shift in sorted(left, key=lambda p: (p[0] - p[1], p)):
         if b - a < start:
             break
+        if any(p <= a and b <= q for p, q, _, _ in out):
+            continue
         c, d = a + shift, b + shift
+        mine = set(ul[a : b - SHINGLE + 1])  # the sets of shingles so far, and how many both have
+        other, both = set(mine), len(mine)
+
+        def taken(low: int, high: int, p_low: int, p_high: int) -> bool:
+            """Take in these further shingles of either side if the passages stay alike."""
+            nonlocal both
+            more, p_more = set(ul[low:high]) - mine, set(vl[p_low:p_high]) - other
+            common = both + len(more & other) + len(p_more & mine) + len(more & p_more)
+            if common < similarity * (len(mine) + len(more) + len(other) + len(p_more) - common):
+                return False
+            mine.update(more)
+            other.update(p_more)
+            both = common
+            return True
+
         before, after = [p for p in left if p[0] < a][::-1], [p for p in left if p[1] > b]
-        grown = True
+        grown = bool(before or after)
         while grown:
             grown = False
             for i, (p, q, s) in enumerate(before):
                 if a - q > b - a:
                     break
-                if p < a and p + s < c and alike(p, b, p + s, d):
+                if p < a and p + s < c and taken(p, a, p + s, c):
                     a, c, before, grown = p, p + s, before[i + 1 :], True
                     break
             for i, (p, q, s) in enumerate(after):
                 if p - b > b - a:
                     break
-                if q > b and q + s > d and alike(a, q, c, q + s):
+                if q > b and q + s > d and taken(b - SHINGLE + 1, q - SHINGLE + 1, d - SHINGLE + 1, q + s - SHINGLE + 1):
                     b, d, after, grown = q, q + s, after[i + 1 :], True
                     break
         out.append((a, b, c, d))
-        rest = [(p, min(q, a), s) for p, q, s in left if p < a] + [(max(p, b), q, s) for p, q, s in left if q > b]
-        left = sorted(p for p in rest if p[1] - p[0] >= SHINGLE)
+        left = [p for p in left if p[0] < a or p[1] > b]
     return [p for p in out if max(p[1] - p[0], p[3] - p[2]) >= least]
 
 
 def numbered_words(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Words of two segments as numbers, the same for the same words."""
-    numbers: dict[bytes, int] = {}
-    return tuple(np.array([numbers.setdefault(w, len(numbers)) for w in white_words(s)], dtype=np.int64) for s in (a, b))
+    x, y = white_words(a), white_words(b)
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    return tuple(np.fromiter(map(numbers.__getitem__, w), dtype=np.int64, count=len(w)) for w in (x, y))
 
 
 MATCH = "doc_id long, row long, first int, last int, p_doc long, p_row long, p_first int, p_last int, keys array<long>, at array<int>"
 
 
-def open_paragraphs(words: bytes, lines: list[tuple[int, int, int]], found: list[tuple[int, int, int, int]], window: int, memo: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the paragraphs that a colliding key stands for and that are not in a passage found."""
-    seq = Sequence([words], memo)
-    if seq.n < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    width = window - SHINGLE + 1
-    at = np.arange(seq.n - window + 1)
-    first = at + np.argmin(np.lib.stride_tricks.sliding_window_view(seq.windows(SHINGLE), width), axis=1)
-    collides, free = np.zeros(seq.n, dtype=bool), np.ones(len(at), dtype=bool)
+def open_paragraphs(words: bytes, n: int, lines: list[tuple[int, int, int]], found: list[tuple[int, int, int, int]], window: int, memo: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the paragraphs, of a segment of n words, that a colliding key stands for and that are not in a passage found."""
+    maybe, collides = np.zeros(max(0, n - window + 1), dtype=bool), np.zeros(n, dtype=bool)
     for a, b, _ in lines:
-        collides[max(0, a) : b + 1] = True
+        maybe[max(0, a + SHINGLE - window) : b + 1] = True
+        collides[a : b + 1] = True
     for a, b, _, _ in found:
-        free[a : b - window + 1] = False
-    at = np.flatnonzero(collides[first] & free)
-    return at, seq.windows(window)[at]
+        maybe[a : max(a, b - window + 1)] = False
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], maybe.view(np.int8), [0]))))
+    if not len(edges):
+        return edges, np.empty(0, dtype=np.uint64)
+    split, width = white_words(words), window - SHINGLE + 1
+    low, high = edges[::2], edges[1::2] + window - 1  # words of each run of such paragraphs
+    seq = Sequence([b" ".join(split[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)], memo)
+    first = np.argmin(np.lib.stride_tricks.sliding_window_view(seq.windows(SHINGLE), width), axis=1)
+    moved = np.repeat(low - np.array(seq.starts[:-1]), np.diff(seq.starts))  # from places in seq to places in the segment
+    at = np.concatenate([np.arange(i, j - window + 1) for i, j in zip(seq.starts, seq.starts[1:])])
+    at = at[collides[at + first[at] + moved[at]]]
+    return at + moved[at], seq.windows(window)[at]
 
 
 def verified(pairs: DataFrame, held: DataFrame, similarity: float, least: int, window: int, leave: bool) -> DataFrame:
-    """MATCH rows: passages of pairs that are alike, last words exclusive. With ``leave``, also a row for each pair of which paragraphs
-    collide outside of them: without pivot, first and last being the segment's, and with the paragraphs' hashes and places."""
+    """MATCH rows: passages of pairs that are alike, last words exclusive. With ``leave``, also a row for each document of which
+    paragraphs collide outside of them: without pivot, first and last being the segment's, and with the paragraphs' hashes and
+    places. The pivot's own need no second look: whatever has its key was compared with it."""
     schema = arrow_schema(MATCH)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,13 +365,9 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float, least: int, w
                 found = common_passages(x, y, lines, similarity, least, window // 2)
                 out += [(r["doc_id"], r["row"], a + p[0], a + p[1], r["p_doc"], r["p_row"], c + p[2], c + p[3], None, None) for p in found]
                 if leave:
-                    sides = [(r["doc_id"], r["row"], a, r["high"], r["words"], lines, found)]
-                    p_doc = None if r["p_doc"] == LAST else r["p_doc"]
-                    sides.append((p_doc, r["p_row"], c, r["p_high"], r["p_words"], [(i + s, j + s, -s) for i, j, s in lines], [(p[2], p[3], p[0], p[1]) for p in found]))
-                    for doc, row, low, high, words, its, done in sides:
-                        at, keys = open_paragraphs(words, its, done, window, memo)
-                        if len(at):
-                            out.append((doc, row, low, high, None, None, None, None, keys.view(np.int64).tolist(), (at + low).tolist()))
+                    at, keys = open_paragraphs(r["words"], len(x), lines, found, window, memo)
+                    if len(at):
+                        out.append((r["doc_id"], r["row"], a, r["high"], None, None, None, None, keys.view(np.int64).tolist(), (at + a).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
     mine = held.select("row", "low", "high", "words")
@@ -472,7 +483,7 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
         return pd.Series([t if c is None else cut_words(t, [(s["first_word"], s["last_word"]) for s in c]) for t, c in zip(text, cuts, strict=True)])
 
     text = F.when(F.col("__cut").isNull(), F.col("__packed.text")).otherwise(trimmed(F.col("__packed.text"), F.col("__cut")))
-    return unpacked(held, docs, text=text)
+    return unpacked(held, docs, {"text": text})
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
